@@ -1,0 +1,13 @@
+"""Number formats Spark has no expression for; used on result rows only."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+@F.pandas_udf(T.StringType())
+def general_number(value: pd.Series) -> pd.Series:
+    """Six significant digits, without trailing zeros."""
+    return value.map(lambda v: None if pd.isna(v) else f"{v:.6g}")
