@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from proofmark.functions.columns import col
 from proofmark.operators.ordering import exact_medians, median_brackets
 from proofmark.plans.wording import PII_NAME_PARTS, TARGET_NAME_PARTS, WARNINGS
+from proofmark.workspace import local_table, settle
 
 # Longer texts are counted by their SHA-256, so that a shuffle moves 64 characters
 # per value instead of whole documents.
@@ -64,9 +66,14 @@ def comparable(field: T.StructField) -> Column:
 
 
 def profile_schema(df: DataFrame) -> DataFrame:
-    rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema)]
-    return df.sparkSession.createDataFrame(
-        rows, "position int, column string, type string, nullable boolean"
+    return local_table(
+        df.sparkSession,
+        {
+            "position": (pa.int32(), list(range(len(df.columns)))),
+            "column": (pa.string(), df.columns),
+            "type": (pa.string(), [f.dataType.simpleString() for f in df.schema]),
+            "nullable": (pa.bool_(), [f.nullable for f in df.schema]),
+        },
     )
 
 
@@ -254,29 +261,25 @@ def _date_aggregates(names: Sequence[str]) -> list[Column]:
     ]
 
 
-def _collected(wide: DataFrame) -> DataFrame:
-    """The single row of a wide aggregate as a local table, so that it is computed once."""
-    return wide.sparkSession.createDataFrame(wide.collect(), wide.schema)
-
-
 def numeric_summary(df: DataFrame) -> DataFrame:
     """min, max, mean, population standard deviation and exact median per numeric column."""
     names = [f.name for f in df.schema if is_numeric(f)]
     if not names:
-        return _no_rows(df, "column string, min double, max double, mean double, stddev double, median double")
-    return _numeric_long(df, _collected(df.agg(*_numeric_aggregates(names))), names)
+        return _no_rows(df, [*_MOMENTS, "median"], pa.float64())
+    return _numeric_long(df, settle(df.agg(*_numeric_aggregates(names)), "numbers"), names)
 
 
 def date_ranges(df: DataFrame) -> DataFrame:
     """First and last value of every date/time column, as text."""
     names = [f.name for f in df.schema if is_temporal(f)]
     if not names:
-        return _no_rows(df, "column string, start string, end string")
+        return _no_rows(df, ["start", "end"], pa.string())
     return _long(df.agg(*_date_aggregates(names)), names, {"start": "_start", "end": "_end"})
 
 
-def _no_rows(df: DataFrame, schema: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([], schema)
+def _no_rows(df: DataFrame, names: Sequence[str], kind: pa.DataType) -> DataFrame:
+    empty = {"column": (pa.string(), []), **{name: (kind, []) for name in names}}
+    return local_table(df.sparkSession, empty)
 
 
 # --- classification of profile rows -------------------------------------------------
@@ -368,8 +371,10 @@ def profile(df: DataFrame, exact_distinct: bool = True, sample_size: int = SAMPL
     pruned scan per column for distinct values and samples together, one for duplicates."""
     numbers = [f.name for f in df.schema if is_numeric(f)]
     dates = [f.name for f in df.schema if is_temporal(f)]
-    wide = _collected(
-        df.agg(*_missing_aggregates(df), *_numeric_aggregates(numbers), *_date_aggregates(dates))
+    # One row, so the later steps reuse it instead of scanning again.
+    wide = settle(
+        df.agg(*_missing_aggregates(df), *_numeric_aggregates(numbers), *_date_aggregates(dates)),
+        "wide",
     )
     gaps = _missing_long(wide, df.columns, 0.0)
     counted = distinct(df) if exact_distinct else distinct_approx(df)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,7 @@ from proofmark.plans.wording import (
     QUALITY_PATTERN,
     TOP_PATTERN,
 )
+from proofmark.workspace import local_table
 
 MIN_FILTER_LENGTH = 3
 
@@ -45,22 +47,18 @@ def _first(items: Column) -> Column:
 
 def schema_catalog(dataset_id: str, df: DataFrame) -> DataFrame:
     """Catalog rows from the schema alone: no samples, no date range, no data read."""
-    rows = [
-        (
-            dataset_id,
-            i,
-            f.name,
-            profiling.is_numeric(f),
-            profiling.is_temporal(f),
-            [],
-            None,
-        )
-        for i, f in enumerate(df.schema)
-    ]
-    return df.sparkSession.createDataFrame(
-        rows,
-        "dataset_id string, position int, column string, is_numeric boolean, is_date boolean, "
-        "sample_values array<string>, date_end string",
+    width = len(df.columns)
+    return local_table(
+        df.sparkSession,
+        {
+            "dataset_id": (pa.string(), [dataset_id] * width),
+            "position": (pa.int32(), list(range(width))),
+            "column": (pa.string(), df.columns),
+            "is_numeric": (pa.bool_(), [profiling.is_numeric(f) for f in df.schema]),
+            "is_date": (pa.bool_(), [profiling.is_temporal(f) for f in df.schema]),
+            "sample_values": (pa.list_(pa.string()), [[] for _ in df.columns]),
+            "date_end": (pa.string(), [None] * width),
+        },
     )
 
 

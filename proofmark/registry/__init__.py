@@ -1 +1,10 @@
+"""All runnable queries; importing this package registers them."""
 
+from proofmark.registry import (  # noqa: F401
+    analyses,
+    hypotheses,
+    profiles,
+    sources,
+
+)
+from proofmark.registry.base import ORACLES, QUERIES  # noqa: F401

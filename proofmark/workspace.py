@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _local_base: str | None = None
@@ -49,7 +50,17 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     Up to 1,000 rows become a local table (Spark then broadcasts it by its known size);
     a larger one is written out instead, so nothing unbounded reaches the driver.
     """
-    rows = df.limit(_SMALL_ROWS + 1).collect()
-    if len(rows) <= _SMALL_ROWS:
+    rows = df.limit(_SMALL_ROWS + 1).toArrow()
+    if rows.num_rows <= _SMALL_ROWS:
         return df.sparkSession.createDataFrame(rows, df.schema)
     return pin(df, label)
+
+
+def local_table(spark: SparkSession, columns: dict[str, tuple[pa.DataType, list]]) -> DataFrame:
+    """A table of driver-side control data (schemas, one question) with a known size.
+
+    Arrow input becomes a LocalTableScan; a list of tuples would become an RDD scan of
+    unknown size, and Spark might broadcast the other, large side of a join instead.
+    """
+    arrays = {name: pa.array(values, type=kind) for name, (kind, values) in columns.items()}
+    return spark.createDataFrame(pa.table(arrays))
