@@ -54,9 +54,9 @@ def cleaned_sql(sql: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(sql, r"^\s+", ""), _TRAILING, "")
 
 
-def policy_reason(sql: Column) -> Column:
-    """First broken rule of a statement, or NULL; NULL text counts as empty."""
-    text = F.coalesce(cleaned_sql(sql), F.lit(""))
+def policy_reason(clean: Column) -> Column:
+    """First broken rule of a cleaned statement, or NULL; NULL text counts as empty."""
+    text = F.coalesce(clean, F.lit(""))
     chain = None
     for reason, pattern, wanted in RULES:
         broken = ~text.rlike(pattern) if wanted else text.rlike(pattern)
@@ -67,9 +67,10 @@ def policy_reason(sql: Column) -> Column:
 
 def audit_sql(log: DataFrame, column: str = "sql") -> DataFrame:
     """Policy verdict for every statement of a query log."""
-    return log.withColumns(
-        {"reason": policy_reason(F.col(column)), "clean_sql": cleaned_sql(F.col(column))}
-    ).withColumn("allowed", F.col("reason").isNull())
+    cleaned = log.withColumn("clean_sql", cleaned_sql(F.col(column)))
+    return cleaned.withColumn("reason", policy_reason(F.col("clean_sql"))).withColumn(
+        "allowed", F.col("reason").isNull()
+    )
 
 
 def check_sql(sql: str) -> str:
@@ -198,7 +199,7 @@ def critic_verdict(checks: DataFrame) -> DataFrame:
     )
     unsafe = F.filter(
         F.transform(
-            "sqls",
+            F.transform("sqls", cleaned_sql),
             lambda sql: F.struct(F.lit("unsafe_sql").alias("type"), policy_reason(sql).alias("message")),
         ),
         lambda item: item["message"].isNotNull(),

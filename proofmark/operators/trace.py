@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proofmark.functions.columns import col, quoted
+from proofmark.functions.columns import col
 from proofmark.operators.ordering import place_in_order
 
 PRIVATE_FIELD = "storage_uri"
@@ -89,7 +89,7 @@ def _public(value: Column, kind: T.DataType) -> Column:
     """``value`` without the private field at any depth."""
     if isinstance(kind, T.StructType):
         kept = [
-            _public(value[quoted(f.name)], f.dataType).alias(f.name)
+            _public(value.getField(f.name), f.dataType).alias(f.name)
             for f in kind.fields
             if f.name != PRIVATE_FIELD
         ]
