@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofmark.workspace import pin, settle
+from proofmark.workspace import pin, settle_rows
 
 # Medians of at most this many bracketed rows are finished by one sort per group.
 _ONE_SORT = 1_000_000
@@ -21,10 +22,7 @@ def join_on_keys(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
 ) -> DataFrame:
     """Equi-join that treats NULL keys as equal and keeps the left key columns."""
-    renamed = right.select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys],
-        *[c for c in right.columns if c not in keys],
-    )
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     condition = F.lit(True)
     for key in keys:
         condition = condition & left[key].eqNullSafe(renamed[f"_r_{key}"])
@@ -38,8 +36,9 @@ def place_in_order(
 
     Rows are range partitioned on (by, order), so one hot ``by`` group is spread over
     many slices.  The slices are written once, because range bounds are sampled and
-    must not differ between the totals pass and the numbering pass.  Only one total per
-    (group, slice) is ever brought together.
+    must not differ between the totals pass and the numbering pass.  Only groups that
+    cross a slice border need an offset, and a border cuts at most one group, so there are
+    fewer offsets than slices: they are broadcast.
     """
     keys = list(by)
     amount = F.col(weight) if weight else F.lit(1).cast("long")
@@ -53,14 +52,16 @@ def place_in_order(
     offsets = (
         sliced.groupBy(*keys, "_slice")
         .agg(F.sum(amount).alias("_total"))
-        .select(*keys, "_slice", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base"))
+        .select(*keys, "_slice", F.sum("_total").over(earlier).alias("_base"))
+        .where(F.col("_base").isNotNull())
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    placed = join_on_keys(sliced, offsets, [*keys, "_slice"])
+    placed = join_on_keys(sliced, F.broadcast(offsets), [*keys, "_slice"], "left")
     return placed.withColumn(
-        "before", F.col("_base") + F.coalesce(F.sum(amount).over(inside), F.lit(0))
+        "before",
+        F.coalesce("_base", F.lit(0)) + F.coalesce(F.sum(amount).over(inside), F.lit(0)),
     ).drop("_slice", "_base")
 
 
@@ -100,79 +101,66 @@ def exact_medians(
 ) -> DataFrame:
     """Exact medians in two scans: (by..., column, n, median).
 
-    Scan 1 brackets each median with a quantile sketch; scan 2 counts what lies below the
-    bracket and keeps only the values inside it (about 0.2 % of the rows), from which the
-    median position is read off.  No value list of a whole group is ever built.
+    Scan 1 brackets each median with a quantile sketch.  Scan 2 counts the values inside
+    the bracket (about 0.2 % of the rows) one by one and everything below it as one NULL
+    entry, which sorts first and so carries the offset.  The median is then read off by
+    position; no value list of a whole group is ever built.
     ``brackets`` takes the result of scan 1 when the caller ran it with other aggregates.
     """
     keys = list(by) or ["_all"]
     work = df if by else df.withColumn("_all", F.lit(0))
     if brackets is None:
         brackets = work.groupBy(*keys).agg(*median_brackets([F.col(c) for c in columns]))
-    brackets = settle(brackets, "brackets")
-    largest = brackets.agg(
-        F.max(F.greatest(F.lit(0), *[F.col(f"_n{i}") for i in range(len(columns))]))
-    ).first()[0]
-
-    values = work.select(*keys, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
-    scanned = join_on_keys(values, brackets, keys)
-    below = scanned.groupBy(*keys).agg(
-        *[F.count_if(F.col(f"_v{i}") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in range(len(columns))]
+    sizes = [f"_n{i}" for i in range(len(columns))]
+    brackets, rows = settle_rows(brackets, "brackets")
+    if rows is not None:
+        largest = max((pc.max(rows[c]).as_py() or 0 for c in sizes), default=0)
+    else:
+        largest = brackets.agg(F.max(F.greatest(F.lit(0), *sizes))).first()[0]
+
+    values = work.select(
+        *keys, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)]
     )
-    facts = join_on_keys(brackets, below, keys).select(
-        *keys,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("column"),
-                        F.col(f"_n{i}").alias("n"),
-                        F.col(f"_below{i}").alias("_below"),
-                    )
-                    for i, name in enumerate(columns)
-                ]
-            )
-        ),
+    # NULL bounds (a column without values) make the condition NULL, so nothing is emitted.
+    entries = [
+        F.when(
+            F.col(f"_v{i}") <= F.col(f"_hi{i}"),
+            F.struct(
+                F.lit(i).alias("_i"),
+                F.when(F.col(f"_v{i}") >= F.col(f"_lo{i}"), F.col(f"_v{i}")).alias("value"),
+            ),
+        )
+        for i in range(len(columns))
+    ]
+    counts = (
+        join_on_keys(values, brackets, keys)
+        .select(*keys, F.inline(F.array_compact(F.array(*entries))))
+        .groupBy(*keys, "_i", "value")
+        .agg(F.count(F.lit(1)).alias("_times"))
     )
-    inside = scanned.select(
-        *keys,
-        F.explode(
-            F.filter(
-                F.array(
-                    *[
-                        F.when(
-                            F.col(f"_v{i}").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")),
-                            F.struct(F.lit(name).alias("column"), F.col(f"_v{i}").alias("value")),
-                        )
-                        for i, name in enumerate(columns)
-                    ]
-                ),
-                lambda item: item.isNotNull(),
-            )
-        ).alias("_item"),
-    ).select(*keys, "_item.column", "_item.value")
-    counts = inside.groupBy(*keys, "column", "value").agg(F.count(F.lit(1)).alias("_times"))
-    if (largest or 0) * 4 * _HALF_WIDTH > _ONE_SORT:
-        placed = place_in_order(counts, [*keys, "column"], ["value"], weight="_times")
+    if largest * 4 * _HALF_WIDTH > _ONE_SORT:
+        placed = place_in_order(counts, [*keys, "_i"], ["value"], weight="_times")
     else:
-        earlier = Window.partitionBy(*keys, "column").orderBy("value").rowsBetween(
+        earlier = Window.partitionBy(*keys, "_i").orderBy("value").rowsBetween(
             Window.unboundedPreceding, -1
         )
         placed = counts.withColumn("before", F.coalesce(F.sum("_times").over(earlier), F.lit(0)))
 
-    located = join_on_keys(placed, facts, [*keys, "column"])
-    start = F.col("before") + F.col("_below")
+    names = [
+        F.struct(F.lit(i).alias("_i"), F.lit(name).alias("column"), F.col(sizes[i]).alias("n"))
+        for i, name in enumerate(columns)
+    ]
+    facts = brackets.select(*keys, F.inline(F.array(*names)))
 
-    def covers(position: Column) -> Column:
-        return (start <= position) & (position < start + F.col("_times"))
+    def at(position: Column) -> Column:
+        covered = (F.col("before") <= position) & (position < F.col("before") + F.col("_times"))
+        return F.max(F.when(covered, F.col("value")))
 
-    low = F.floor((F.col("n") - 1) / F.lit(2))
-    high = F.floor(F.col("n") / F.lit(2))
+    middle = (at(F.floor((F.col("n") - 1) / F.lit(2))) + at(F.floor(F.col("n") / F.lit(2)))) / 2
     medians = (
-        located.groupBy(*keys, "column")
-        .agg(
-            ((F.max(F.when(covers(low), F.col("value"))) + F.max(F.when(covers(high), F.col("value")))) / 2).alias("median")
-        )
+        join_on_keys(placed, facts.drop("column"), [*keys, "_i"])
+        .groupBy(*keys, "_i")
+        .agg(middle.alias("median"))
     )
-    result = join_on_keys(facts.drop("_below"), medians, [*keys, "column"], "left")
+    result = join_on_keys(facts, medians, [*keys, "_i"], "left").drop("_i")
     return result if by else result.drop("_all")

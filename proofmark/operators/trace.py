@@ -67,7 +67,11 @@ def assemble_trace(
         .unionByName(part(numbered(artifacts), "artifact", "position"))
         .unionByName(part(numbered(evaluations), "evaluation", "position"))
     )
-    return analyses.select("analysis_id", "status").join(parts, "analysis_id", "left")
+    heads = analyses.select("analysis_id", "status")
+    # Inner and anti join instead of a left join: adaptive execution can then split the
+    # parts of an analysis that owns very many of them.
+    bare = heads.join(parts.select("analysis_id").distinct(), "analysis_id", "left_anti")
+    return heads.join(parts, "analysis_id").unionByName(bare, allowMissingColumns=True)
 
 
 def nested_trace(trace: DataFrame, analysis_ids: list) -> DataFrame:

@@ -149,11 +149,9 @@ _RANKED_SQL = (
 
 
 def _mann_whitney(spark, d):
-    events = _events(spark, d)
-    sides = settle(
-        s.paired_groups(s.group_descriptives(events, "value", "event_type")), "sides"
-    )
-    return s.mann_whitney_u(s.group_values(events, "value", "event_type"), sides)
+    values = s.group_values(_events(spark, d), "value", "event_type")
+    sizes = values.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return s.mann_whitney_u(values, settle(s.paired_groups(sizes), "sides"))
 
 
 @query(

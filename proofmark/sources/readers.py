@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proofmark.functions.columns import col
+from proofmark.workspace import pin
 
 # Whole-text patterns of the three inferred types.
 _DATE = r"^\d{4}-\d{2}-\d{2}([T ].*)?\z"
@@ -31,9 +32,11 @@ def scan_parquet(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A dataset by its extension.  CSV is rewritten as Parquet once, because profiles and
+    analyses read single columns many times."""
     lowered = path.lower().rstrip("/")
     if lowered.endswith(".csv"):
-        return scan_csv(spark, path)
+        return pin(scan_csv(spark, path), "dataset")
     if lowered.endswith(".parquet"):
         return scan_parquet(spark, path)
     raise ValueError("Format dataset tidak didukung.")
