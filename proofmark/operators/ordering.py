@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,6 +95,35 @@ def median_brackets(columns: Sequence[Column]) -> list[Column]:
     return found
 
 
+def _bracketed(
+    work: DataFrame,
+    brackets: DataFrame,
+    rows: pa.Table | None,
+    keys: Sequence[str],
+    by: Sequence[str],
+    i: int,
+    column: str,
+) -> DataFrame:
+    """Counts of one column up to the upper bound, with NULL for all below the bracket."""
+    values = work.select(*keys, F.col(column).cast("double").alias("value"))
+    low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+    if not by and rows is not None:
+        # One bracket: literal bounds, which reach the Parquet scan.
+        low, high = (
+            F.lit(rows[name][0].as_py() if rows.num_rows else None).cast("double")
+            for name in (f"_lo{i}", f"_hi{i}")
+        )
+    else:
+        values = join_on_keys(values, brackets.select(*keys, f"_lo{i}", f"_hi{i}"), keys)
+    return (
+        values.where(F.col("value") <= high)
+        .select(*keys, F.when(F.col("value") >= low, F.col("value")).alias("value"))
+        .groupBy(*keys, "value")
+        .agg(F.count(F.lit(1)).alias("_times"))
+        .withColumn("_i", F.lit(i))
+    )
+
+
 def exact_medians(
     df: DataFrame,
     columns: Sequence[str],
@@ -101,10 +132,11 @@ def exact_medians(
 ) -> DataFrame:
     """Exact medians in two scans: (by..., column, n, median).
 
-    Scan 1 brackets each median with a quantile sketch.  Scan 2 counts the values inside
-    the bracket (about 0.2 % of the rows) one by one and everything below it as one NULL
-    entry, which sorts first and so carries the offset.  The median is then read off by
-    position; no value list of a whole group is ever built.
+    Scan 1 brackets each median with a quantile sketch.  Scan 2 (one branch per column,
+    reading that column only) counts the values inside the bracket (about 0.2 % of the
+    rows) one by one and everything below it as one NULL entry, which sorts first and so
+    carries the offset.  The median is then read off by position; no value list of a
+    whole group is ever built.
     ``brackets`` takes the result of scan 1 when the caller ran it with other aggregates.
     """
     keys = list(by) or ["_all"]
@@ -118,25 +150,9 @@ def exact_medians(
     else:
         largest = brackets.agg(F.max(F.greatest(F.lit(0), *sizes))).first()[0]
 
-    values = work.select(
-        *keys, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)]
-    )
-    # NULL bounds (a column without values) make the condition NULL, so nothing is emitted.
-    entries = [
-        F.when(
-            F.col(f"_v{i}") <= F.col(f"_hi{i}"),
-            F.struct(
-                F.lit(i).alias("_i"),
-                F.when(F.col(f"_v{i}") >= F.col(f"_lo{i}"), F.col(f"_v{i}")).alias("value"),
-            ),
-        )
-        for i in range(len(columns))
-    ]
-    counts = (
-        join_on_keys(values, brackets, keys)
-        .select(*keys, F.inline(F.array_compact(F.array(*entries))))
-        .groupBy(*keys, "_i", "value")
-        .agg(F.count(F.lit(1)).alias("_times"))
+    counts = reduce(
+        DataFrame.unionAll,
+        [_bracketed(work, brackets, rows, keys, by, i, c) for i, c in enumerate(columns)],
     )
     if largest * 4 * _HALF_WIDTH > _ONE_SORT:
         placed = place_in_order(counts, [*keys, "_i"], ["value"], weight="_times")

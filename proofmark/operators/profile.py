@@ -134,21 +134,24 @@ def _value_groups(df: DataFrame, field: T.StructField) -> DataFrame:
     )
 
 
-def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, value, n) for every distinct non-null value.
-
-    One branch per column: each reads only its own column from a columnar source and
-    groups on the native type, so the rows are never multiplied by the column count.
-    """
+def _value_branches(df: DataFrame, columns: Sequence[str] | None) -> list[DataFrame]:
     wanted = set(columns or df.columns)
-    branches = [
+    return [
         _value_groups(df, field).select(
             F.lit(field.name).alias("column"), F.col("value").cast("string").alias("value"), "n"
         )
         for field in df.schema
         if field.name in wanted
     ]
-    return reduce(DataFrame.unionAll, branches)
+
+
+def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column, value, n) for every distinct non-null value.
+
+    One branch per column: each reads only its own column from a columnar source and
+    groups on the native type, so the rows are never multiplied by the column count.
+    """
+    return reduce(DataFrame.unionAll, _value_branches(df, columns))
 
 
 def distinct(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -196,11 +199,12 @@ def samples(
 
 
 def _ranked_values(df: DataFrame, columns: Sequence[str] | None, size: int) -> DataFrame:
-    """``row_number() <= size`` leaves at most ``size`` rows per column in every task
-    before the shuffle (window group limit)."""
-    ranking = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    ranked = value_counts(df, columns).withColumn("position", F.row_number().over(ranking))
-    return ranked.where(F.col("position") <= size)
+    """Top ``size`` per column branch: a bounded heap per task, no sort of all values.
+    Only the winners are numbered."""
+    order = [F.desc("n"), F.asc("value")]
+    best = [branch.orderBy(*order).limit(size) for branch in _value_branches(df, columns)]
+    ranking = Window.partitionBy("column").orderBy(*order)
+    return reduce(DataFrame.unionAll, best).withColumn("position", F.row_number().over(ranking))
 
 
 def _whole_samples(df: DataFrame, best: DataFrame, rows: pa.Table | None) -> DataFrame:

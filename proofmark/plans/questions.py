@@ -183,23 +183,22 @@ def fold_catalog(
     )
 
 
-# --- resolvers over question x folded catalog ------------------------------------------
+# --- resolvers over question x folded catalog (columns of ``with_catalog``) ---------------
 
 
-def resolve_metric(question: Column) -> Column:
-    text = normalize_text(question)
-    named = F.filter("numeric", lambda n: F.contains(text, n["norm"]))
+def resolve_metric() -> Column:
+    named = F.filter("numeric", lambda n: F.contains(F.col("normalized"), n["norm"]))
     return F.coalesce(_first(named)["name"], F.col("default_metric"))
 
 
-def resolve_dimension(question: Column) -> Column:
-    lowered = F.lower(question)
-    return _first(F.filter("dimension_words", lambda w: F.contains(lowered, w["word"])))["column"]
+def resolve_dimension() -> Column:
+    named = F.filter("dimension_words", lambda w: F.contains(F.col("lowered"), w["word"]))
+    return _first(named)["column"]
 
 
-def resolve_value_filters(question: Column) -> Column:
+def resolve_value_filters() -> Column:
     """array<struct<column, value>>: per column the first sampled value named in full."""
-    lowered = F.lower(question)
+    lowered = F.col("lowered")
     hits = F.transform(
         "value_columns",
         lambda c: F.struct(
@@ -215,20 +214,19 @@ def resolve_value_filters(question: Column) -> Column:
     return F.filter(hits, lambda h: h["value"].isNotNull())
 
 
-def resolve_month(question: Column) -> Column:
-    """Latest month named in the question, or NULL; one pass over the text."""
+def resolve_month(lowered: Column) -> Column:
+    """Latest month named in the lower-case question, or NULL; one pass over the text."""
     pattern = r"\b(" + "|".join(MONTHS) + r")\b"
     numbers = F.create_map(*[x for name, number in MONTHS.items() for x in (F.lit(name), F.lit(number))])
-    found = F.regexp_extract_all(F.lower(question), F.lit(pattern), F.lit(1))
+    found = F.regexp_extract_all(lowered, F.lit(pattern), F.lit(1))
     return F.array_max(F.transform(found, lambda word: F.try_element_at(numbers, word)))
 
 
 def classify_intent(
-    question: Column, metric: Column, dimension: Column, date_column: Column, month: Column
+    lowered: Column, metric: Column, dimension: Column, date_column: Column, month: Column
 ) -> Column:
-    lowered = F.lower(question)
     return (
-        F.when(F.length(F.trim(question)) == 0, "blank")
+        F.when(F.length(F.trim(lowered)) == 0, "blank")
         .when(lowered.rlike(QUALITY_PATTERN), "quality")
         .when(
             date_column.isNotNull()
@@ -256,25 +254,27 @@ def with_catalog(questions: DataFrame, folded: DataFrame) -> DataFrame:
 
     No hint: Spark broadcasts the catalog when its size is small and otherwise
     shuffles, where adaptive execution splits datasets with very many questions.
+    The text is normalised below the join, once per question instead of once per column.
     """
-    return questions.join(folded, "dataset_id", "left")
+    text = F.col("text")
+    prepared = questions.withColumns({"lowered": F.lower(text), "normalized": normalize_text(text)})
+    return prepared.join(folded, "dataset_id", "left")
 
 
 def plan_questions(questions: DataFrame, folded: DataFrame) -> DataFrame:
     """One plan per question: intent, resolved columns, filters, months, evidence keys."""
-    text = F.col("text")
     resolved = with_catalog(questions, folded).withColumns(
         {
-            "metric": resolve_metric(text),
-            "dimension": resolve_dimension(text),
-            "filters": resolve_value_filters(text),
-            "current_month": resolve_month(text),
+            "metric": resolve_metric(),
+            "dimension": resolve_dimension(),
+            "filters": resolve_value_filters(),
+            "current_month": resolve_month(F.col("lowered")),
         }
     )
     resolved = resolved.withColumn(
         "intent",
         classify_intent(
-            text, F.col("metric"), F.col("dimension"), F.col("date_column"), F.col("current_month")
+            F.col("lowered"), F.col("metric"), F.col("dimension"), F.col("date_column"), F.col("current_month")
         ),
     )
     comparison = F.col("intent") == "comparison"

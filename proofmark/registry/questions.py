@@ -159,12 +159,12 @@ def normalize_text(spark, d):
 
 @query("resolve_metric", f"SELECT question_id, metric FROM ({_BASE_SQL})")
 def resolve_metric(spark, d):
-    return _resolved(spark, d).select("question_id", q.resolve_metric(F.col("text")).alias("metric"))
+    return _resolved(spark, d).select("question_id", q.resolve_metric().alias("metric"))
 
 
 @query("resolve_dimension", f"SELECT question_id, dimension FROM ({_BASE_SQL})")
 def resolve_dimension(spark, d):
-    return _resolved(spark, d).select("question_id", q.resolve_dimension(F.col("text")).alias("dimension"))
+    return _resolved(spark, d).select("question_id", q.resolve_dimension().alias("dimension"))
 
 
 @query("resolve_date_column", f"SELECT question_id, date_column FROM ({_BASE_SQL})")
@@ -181,14 +181,14 @@ def resolve_date_column(spark, d):
 def resolve_value_filters(spark, d):
     joined = q.with_catalog(_questions(spark, d), q.fold_catalog(_full_catalog(spark, d)))
     pairs = F.transform(
-        q.resolve_value_filters(F.col("text")), lambda f: F.concat(f["column"], F.lit("="), f["value"])
+        q.resolve_value_filters(), lambda f: F.concat(f["column"], F.lit("="), f["value"])
     )
     return joined.select("question_id", F.array_join(pairs, ";").alias("filters"))
 
 
 @query("resolve_months", f"SELECT question_id, CAST(current_month AS INTEGER) AS current_month FROM ({_BASE_SQL})")
 def resolve_months(spark, d):
-    return _questions(spark, d).select("question_id", q.resolve_month(F.col("text")).alias("current_month"))
+    return _questions(spark, d).select("question_id", q.resolve_month(F.lower("text")).alias("current_month"))
 
 
 @query(
