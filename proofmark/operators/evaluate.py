@@ -12,11 +12,11 @@ from proofmark.operators.profile import comparable
 def numerical_score(actual: Column, expected: Column, tolerance: Column) -> Column:
     """1 when close by relative or absolute tolerance, else 0; NULL and NaN score 0."""
     bound = F.greatest(tolerance * F.greatest(F.abs(actual), F.abs(expected)), tolerance)
-    close = (actual == expected) | (F.abs(actual - expected) <= bound)
-    finite = ~F.isnan(actual) & ~F.isnan(expected) & ~F.isnan(actual - expected)
-    return F.when(
-        F.coalesce(close & (finite | (actual == expected)) & ~F.isnan(actual), F.lit(False)), 1.0
-    ).otherwise(0.0)
+    gap = F.abs(actual - expected)
+    # NaN and infinite gaps are not below infinity; equal infinities match by equality.
+    near = (gap < float("inf")) & (gap <= bound)
+    close = ((actual == expected) & ~F.isnan(actual)) | near
+    return F.when(F.coalesce(close, F.lit(False)), 1.0).otherwise(0.0)
 
 
 def expectation_score(

@@ -31,6 +31,12 @@ def join_on_keys(
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def in_slices(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows range partitioned on ``order``, each with the number of its slice."""
+    ranged = df.repartitionByRange(*[F.col(c) for c in order])
+    return pin(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
+
+
 def place_in_order(
     df: DataFrame, by: Sequence[str], order: Sequence[str], weight: str | None = None
 ) -> DataFrame:
@@ -44,10 +50,7 @@ def place_in_order(
     """
     keys = list(by)
     amount = F.col(weight) if weight else F.lit(1).cast("long")
-    columns = [F.col(c) for c in [*keys, *order]]
-    sliced = pin(
-        df.repartitionByRange(*columns).withColumn("_slice", F.spark_partition_id()), "slices"
-    )
+    sliced = in_slices(df, [*keys, *order])
     earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -38,7 +38,11 @@ def file_verdict(name: Column, size: Column, max_mb: int = MAX_FILE_MB) -> Colum
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """File manifest; the content column is pruned, so no file is opened."""
+    """File manifest; the content column is pruned, so no file is opened.
+
+    Spark's file scan leaves out files of zero bytes, so those are never admitted; a
+    manifest from another listing that has them gets the verdict "empty".
+    """
     return spark.read.format("binaryFile").load(path).select("path", "length")
 
 
