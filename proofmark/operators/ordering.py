@@ -144,10 +144,11 @@ def exact_medians(
     """
     keys = list(by) or ["_all"]
     work = df if by else df.withColumn("_all", F.lit(0))
-    if brackets is None:
+    given = brackets is not None
+    if not given:
         brackets = work.groupBy(*keys).agg(*median_brackets([F.col(c) for c in columns]))
     sizes = [f"_n{i}" for i in range(len(columns))]
-    brackets, rows = settle_rows(brackets, "brackets")
+    brackets, rows = settle_rows(brackets, "brackets", maybe_large=bool(by) and not given)
     if rows is not None:
         largest = max((pc.max(rows[c]).as_py() or 0 for c in sizes), default=0)
     else:

@@ -44,20 +44,26 @@ def pin(df: DataFrame, label: str) -> DataFrame:
 _SMALL_ROWS = 1_000
 
 
-def settle_rows(df: DataFrame, label: str) -> tuple[DataFrame, pa.Table | None]:
+def settle_rows(
+    df: DataFrame, label: str, maybe_large: bool = False
+) -> tuple[DataFrame, pa.Table | None]:
     """Compute a normally tiny table once; also its rows when they fit on the driver.
 
     Up to 1,000 rows become a local table (Spark then broadcasts it by its known size);
     a larger one is written out instead, so nothing unbounded reaches the driver.
+    ``maybe_large`` writes first and looks at the size afterwards, so that a result with
+    many rows is not computed twice.
     """
+    if maybe_large:
+        df = pin(df, label)
     rows = df.limit(_SMALL_ROWS + 1).toArrow()
     if rows.num_rows <= _SMALL_ROWS:
         return df.sparkSession.createDataFrame(rows, df.schema), rows
-    return pin(df, label), None
+    return (df if maybe_large else pin(df, label)), None
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    return settle_rows(df, label)[0]
+def settle(df: DataFrame, label: str, maybe_large: bool = False) -> DataFrame:
+    return settle_rows(df, label, maybe_large)[0]
 
 
 def local_table(spark: SparkSession, columns: dict[str, tuple[pa.DataType, list]]) -> DataFrame:
