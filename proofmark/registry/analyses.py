@@ -62,13 +62,15 @@ def month_of(spark, d):
 
 @query(
     "safe_ratio",
-    "SELECT o_custkey, ROUND(SUM(o_totalprice) / NULLIF(COUNT(*) FILTER (WHERE o_orderstatus = 'F'), 0), 4) "
-    "AS price_per_finished FROM orders GROUP BY 1",
+    "SELECT o_custkey, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) "
+    "/ NULLIF(COUNT(*) FILTER (WHERE o_orderstatus = 'F'), 0) AS price_per_finished FROM orders GROUP BY 1",
 )
 def safe_ratio_query(spark, d):
+    """Prices are added as decimals, so the quotient needs no rounding to compare."""
     finished = F.count_if(F.col("o_orderstatus") == "F")
+    total = F.sum(F.col("o_totalprice").cast("decimal(18,2)"))
     return table(spark, d, "orders").groupBy("o_custkey").agg(
-        fixed(safe_ratio(F.sum("o_totalprice"), finished), 4).alias("price_per_finished")
+        safe_ratio(total, finished).alias("price_per_finished")
     )
 
 
