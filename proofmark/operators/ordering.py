@@ -182,5 +182,11 @@ def exact_medians(
         .groupBy(*keys, "_i")
         .agg(middle.alias("median"))
     )
-    result = join_on_keys(facts, medians, [*keys, "_i"], "left").drop("_i")
+    # The sketch bound puts the median inside the bracket; fail loudly rather than lose it.
+    missed = F.raise_error(F.lit("median outside its bracket")).cast("double")
+    result = (
+        join_on_keys(facts, medians, [*keys, "_i"], "left")
+        .withColumn("median", F.when(F.col("n") > 0, F.coalesce("median", missed)))
+        .drop("_i")
+    )
     return result if by else result.drop("_all")

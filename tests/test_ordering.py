@@ -85,6 +85,11 @@ def test_median_of_nothing(spark):
     assert o.exact_medians(nulls, ["value"]).first()["median"] is None
 
 
+def test_not_a_number_sorts_last(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("nan"),), (float("nan"),)], "value double")
+    assert o.exact_medians(df, ["value"]).first()["median"] == 3.0
+
+
 def test_many_groups_use_a_written_table(spark):
     df = spark.range(6000).selectExpr("id % 2000 AS k", "CAST(id AS DOUBLE) AS v")
     found = o.exact_medians(df, ["v"], ["k"])
