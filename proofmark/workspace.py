@@ -1,29 +1,23 @@
 """Session helpers: where intermediate tables live, and how to freeze one.
 
 Intermediate tables go to the shared folder named by ``spark.checkpoint.dir``, so
-that a lost executor never takes the only copy along.  A machine-local folder is
-used only when the session names none (tests, local mode).
+that a lost executor never takes the only copy along.  Where the session names none,
+they go below the warehouse, which a cluster shares as well.
 """
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_local_base: str | None = None
-
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared checkpoint folder."""
-    global _local_base
+    """A fresh path under the shared checkpoint folder, or else under the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if _local_base is None:
-            _local_base = tempfile.mkdtemp(prefix="proofmark-")
-        base = _local_base
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/proofmark/{label}-{uuid4().hex}"
 
 
