@@ -33,7 +33,7 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-SUPPORT = 0.005
+SUPPORT = 0.01
 CONFIDENCE = 0.8
 
 _RESULT = ("host", "path", "rule", "verdict", "mined", "confidence")
