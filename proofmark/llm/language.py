@@ -5,13 +5,14 @@
   sum is tempered.
 - Declared markup language and address suffix: how often each value comes with each language,
   counted over all pages by what their text says.
-- Host: the share of each language among the host's pages, smoothed towards its domain,
-  towards its suffix, towards all pages.
+- Host: the share of each language among the host's pages with text, smoothed towards its
+  domain, towards its suffix, towards all pages.
 
 All counts are grouped aggregates; what is sent to the tasks has a fixed size (languages
 times buckets).  The tables by value and by host are joined, and Spark chooses how.
 
-Cases: a null or empty page has no text evidence; a missing declaration or address is a value
+Cases: a null or empty page has no text evidence, a null text_language and is judged by the
+rest; a missing declaration or address is a value
 of its own; ties between languages go to the alphabetically first; without any document with
 a language every language is null; an empty table gives an empty result; repeated rows are
 judged row by row.  Columns of the input that carry the name of a result column are replaced.
@@ -136,10 +137,15 @@ def _best(values: str) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
+def _said() -> Column:
+    """Language index by the text alone; null where the text says nothing."""
+    return F.when(F.array_max("_ll") > F.array_min("_ll"), _best("_ll"))
+
+
 def _shares(pages: DataFrame, by: list[str], count: int) -> DataFrame:
     """Per key: the number of pages and how many of them each language has (by text)."""
     return pages.groupBy(*by).agg(
-        F.sum("_pages").alias("_n"),
+        F.coalesce(F.sum(F.when(F.col("_text").isNotNull(), F.col("_pages"))), F.lit(0)).alias("_n"),
         F.array(
             *[
                 F.coalesce(F.sum(F.when(F.col("_text") == i, F.col("_pages"))), F.lit(0)).cast(
@@ -199,7 +205,7 @@ def identify_languages(
     count = len(languages)
     facts = pin(
         parsed.select("host", "domain", "suffix", "declared", text_evidence(html, model).alias("_ll"))
-        .withColumn("_text", _best("_ll"))
+        .withColumn("_text", _said())
         .groupBy("host", "domain", "suffix", "declared", "_text")
         .agg(F.count(F.lit(1)).alias("_pages")),
         "facts",
@@ -239,7 +245,7 @@ def identify_languages(
     names = F.array(*[F.lit(x) for x in languages])
     judged = judged.withColumn("_fused", fused).withColumns(
         {
-            "text_language": F.get(names, _best("_ll")),
+            "text_language": F.get(names, _said()),
             "language": F.get(names, _best("_fused")),
         }
     )
