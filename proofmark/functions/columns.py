@@ -85,3 +85,18 @@ def json_safe(field: T.StructField) -> Column:
     elif isinstance(kind, T.BinaryType):
         value = F.lower(F.hex(value))
     return value.alias(field.name)
+
+
+def general_number(value: Column) -> Column:
+    """Text of a number with six significant digits and without trailing zeros."""
+    number = value.cast("double")
+    parts = F.split(F.format_string("%.5e", number), "e")
+    exponent = F.get(parts, F.lit(1)).cast("int")
+    rounded = F.format_string("%.9f", F.format_string("%.5e", number).cast("double"))
+    plain = F.regexp_replace(rounded, r"\.?0+$", "")
+    scientific = F.concat(
+        F.regexp_replace(F.get(parts, F.lit(0)), r"\.?0+$", ""), F.lit("e"), F.get(parts, F.lit(1))
+    )
+    finite = ~F.isnan(number) & (F.abs(number) != float("inf"))
+    shown = F.when((exponent >= -4) & (exponent < 6), plain).otherwise(scientific)
+    return F.when(number == 0, "0").when(finite, shown).otherwise(F.lower(number.cast("string")))

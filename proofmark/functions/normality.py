@@ -1,11 +1,17 @@
-"""Shapiro-Wilk W and p (Royston 1995, algorithm AS R94) for one sample of 3 to 5000."""
+"""Shapiro-Wilk W and p (Royston 1995, algorithm AS R94) as expressions over sums.
+
+W needs each value's normal score, which depends on its place only; everything else is a
+sum.  So groups of any size are tested whole.  The p-value is calibrated for 3 to 5000
+values and extrapolated beyond.
+"""
 
 from __future__ import annotations
 
 from math import asin, exp, log, pi, sqrt
-from statistics import NormalDist
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from proofmark.functions.tails import normal_upper
 
@@ -18,51 +24,106 @@ SMALL_LOG_SD = (1.3822, -0.77857, 0.062767, -0.0020322)
 LARGE_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
 LARGE_LOG_SD = (-0.4803, -0.082676, 0.0030302)
 
+# The rational forms of the normal quantile of AS 241 (PPND16), constant first.
+CENTRE = (
+    (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3,
+     1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4,
+     3.3430575583588128105e4, 2.5090809287301226727e3),
+    (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3,
+     2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4,
+     5.2264952788528545610e3),
+)
+MIDDLE = (
+    (1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0,
+     3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1,
+     2.27238449892691845833e-2, 7.74545014278341407640e-4),
+    (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1,
+     1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4,
+     1.05075007164441684324e-9),
+)
+TAIL = (
+    (6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0,
+     2.96560571828504891230e-1, 2.65321895265761230930e-2, 1.24266094738807843860e-3,
+     2.71155556874348757815e-5, 2.01033439929228813265e-7),
+    (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2,
+     7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7,
+     2.04426310338993978564e-15),
+)
+
+
+def _horner(coefficients, x: Column) -> Column:
+    value = F.lit(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        value = value * x + F.lit(c)
+    return value
+
+
+def normal_quantile(p: Column) -> Column:
+    """The normal quantile of a probability strictly between 0 and 1."""
+    q = p - 0.5
+    inner = F.lit(0.180625) - q * q
+    r = F.sqrt(-F.log(F.least(p, 1.0 - p)))
+    near = _horner(MIDDLE[0], r - 1.6) / _horner(MIDDLE[1], r - 1.6)
+    far = _horner(TAIL[0], r - 5.0) / _horner(TAIL[1], r - 5.0)
+    outer = F.when(r <= 5.0, near).otherwise(far) * F.signum(q)
+    centre = q * _horner(CENTRE[0], inner) / _horner(CENTRE[1], inner)
+    return F.when(F.abs(q) <= 0.425, centre).otherwise(outer)
+
+
+def normal_score(place: Column, n: Column) -> Column:
+    """Blom's score of the value at ``place`` (from 1) of ``n``."""
+    return normal_quantile((place.cast("double") - 0.375) / (n.cast("double") + 0.25))
+
+
+def shapiro_w(n: str, products: str, squares: str, spread: str, ends: list[str]) -> Column:
+    """W from sums over one group.
+
+    ``products``: scores times values; ``squares``: squared scores; ``spread``: squared
+    deviations; ``ends``: the first, second, last but one and last value.
+    """
+    count = F.col(n).cast("double")
+    size = 1.0 / F.sqrt(count)
+    root = F.sqrt(squares)
+    last, next_ = normal_score(count, count), normal_score(count - 1, count)
+    a1 = last / root + _horner(FIRST_WEIGHT, size)
+    a2 = next_ / root + _horner(SECOND_WEIGHT, size)
+    outer, inner = F.col(ends[3]) - F.col(ends[0]), F.col(ends[2]) - F.col(ends[1])
+
+    def total(leading: list[tuple[Column, Column, Column]]) -> Column:
+        """Leading weights as given, the scores of the rest scaled to unit length."""
+        taken = sum((2.0 * s * s for _, s, _ in leading), F.lit(0.0))
+        held = sum((2.0 * a * a for a, _, _ in leading), F.lit(0.0))
+        rest = F.col(products) - sum((s * gap for _, s, gap in leading), F.lit(0.0))
+        scale = F.sqrt((F.col(squares) - taken) / (1.0 - held))
+        return sum((a * gap for a, _, gap in leading), F.lit(0.0)) + F.try_divide(rest, scale)
+
+    summed = (
+        F.when(count == 3, F.lit(sqrt(0.5)) * outer)
+        .when(count <= 5, total([(a1, last, outer)]))
+        .otherwise(total([(a1, last, outer), (a2, next_, inner)]))
+    )
+    w = F.least(F.lit(1.0), F.try_divide(summed * summed, F.col(spread)))
+    return F.when(F.col(spread) == 0, F.lit(1.0)).otherwise(w)
+
 
 def _poly(coefficients, x: float) -> float:
     return float(np.polynomial.polynomial.polyval(x, coefficients))
 
 
-def _weights(n: int) -> np.ndarray:
-    """Weights of the upper half, largest order statistic first."""
-    half = n // 2
-    if n == 3:
-        return np.array([sqrt(0.5)])
-    normal = NormalDist()
-    scores = np.array([-normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, half + 1)])
-    total = 2.0 * float(scores @ scores)
-    size = 1.0 / sqrt(n)
-    leading = [scores[0] / sqrt(total) + _poly(FIRST_WEIGHT, size)]
-    if n > 5:
-        leading.append(scores[1] / sqrt(total) + _poly(SECOND_WEIGHT, size))
-    head = np.array(leading)
-    used = len(head)
-    scale = sqrt(
-        (total - 2.0 * float(scores[:used] @ scores[:used])) / (1.0 - 2.0 * float(head @ head))
-    )
-    return np.concatenate([head, scores[used:] / scale])
-
-
-def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
-    x = np.sort(np.asarray(values, dtype=float))
-    n = len(x)
-    x = x - x[n // 2]
-    spread = float(((x - x.mean()) ** 2).sum())
-    if spread == 0.0:
-        return 1.0, 1.0
-    weights = _weights(n)
-    gaps = x[::-1][: len(weights)] - x[: len(weights)]
-    w = min(1.0, float(weights @ gaps) ** 2 / spread)
+def shapiro_tail(w: float, n: float) -> float:
+    """p of a finished W."""
+    if w is None or n is None or w != w or n < 3:
+        return float("nan")
+    if w >= 1.0:
+        return 1.0
     if n == 3:
-        return w, max(0.0, 6.0 / pi * (asin(sqrt(w)) - asin(sqrt(0.75))))
-    if w == 1.0:
-        return w, 1.0
+        return max(0.0, 6.0 / pi * (asin(sqrt(w)) - asin(sqrt(0.75))))
     y, size = log(1.0 - w), log(n)
     if n <= 11:
         gamma = _poly(SMALL_GAMMA, n)
         if y >= gamma:
-            return w, 0.0
+            return 0.0
         y, mean, sd = -log(gamma - y), _poly(SMALL_MEAN, n), exp(_poly(SMALL_LOG_SD, n))
     else:
         mean, sd = _poly(LARGE_MEAN, size), exp(_poly(LARGE_LOG_SD, size))
-    return w, normal_upper((y - mean) / sd)
+    return normal_upper((y - mean) / sd)

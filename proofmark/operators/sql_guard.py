@@ -9,9 +9,11 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofmark.functions.columns import json_safe
 from proofmark.plans.wording import (
     FORBIDDEN_SQL_FUNCTIONS,
     FORBIDDEN_SQL_WORDS,
+    NO_RESULT,
     POLICY_REASONS,
 )
 from proofmark.sources.sinks import MAX_ROWS
@@ -82,18 +84,23 @@ def check_sql(sql: str) -> str:
     return text
 
 
-def _refuse_other_tables(spark: SparkSession, sql: str) -> None:
-    """Only ``dataset`` may be read: no other visible table, and no other database."""
-    lowered = sql.lower()
-    for table in spark.catalog.listTables():
-        name = table.name.lower()
-        if name != "dataset" and re.search(
-            rf"(\bfrom|\bjoin|,)[\s(]*`?{re.escape(name)}\b", lowered
-        ):
-            raise SQLPolicyError(POLICY_REASONS["external"])
-    databases = [d.name.lower() for d in spark.catalog.listDatabases()] + ["global_temp", "spark_catalog"]
-    if any(re.search(rf"`?\b{re.escape(d)}`?\s*\.", lowered) for d in databases):
-        raise SQLPolicyError(POLICY_REASONS["external"])
+# Leaves of an analysed plan that read no table: constants, parts of the statement itself,
+# and number ranges.
+_OWN_LEAVES = ("OneRowRelation", "LocalRelation", "CTERelationRef", "Range")
+
+
+def _reads_only_dataset(node) -> bool:
+    """Does an analysed plan, with its subqueries, read nothing but the view ``dataset``?"""
+    kind = node.getClass().getSimpleName()
+    if kind == "View":
+        name = node.desc().identifier()
+        return node.isTempView() and name.table() == "dataset" and name.database().isEmpty()
+    children, subqueries = node.children(), node.subqueries()
+    if children.isEmpty() and kind not in _OWN_LEAVES:
+        return False
+    return all(
+        _reads_only_dataset(part.apply(i)) for part in (children, subqueries) for i in range(part.size())
+    )
 
 
 _view_lock = Lock()
@@ -106,7 +113,6 @@ def guarded_sql(spark: SparkSession, df: DataFrame, sql: str, cap: int | None =
     """
     text = check_sql(sql)
     with _view_lock:
-        _refuse_other_tables(spark, text)
         df.createOrReplaceTempView("dataset")
         on_files = spark.conf.get("spark.sql.runSQLOnFiles", "true")
         spark.conf.set("spark.sql.runSQLOnFiles", "false")
@@ -115,6 +121,8 @@ def guarded_sql(spark: SparkSession, df: DataFrame, sql: str, cap: int | None =
         finally:
             spark.conf.set("spark.sql.runSQLOnFiles", on_files)
             spark.catalog.dropTempView("dataset")
+    if not _reads_only_dataset(result._jdf.queryExecution().analyzed()):
+        raise SQLPolicyError(POLICY_REASONS["external"])
     return result if cap is None else result.limit(cap)
 
 
@@ -123,6 +131,7 @@ def collect_guarded(
 ) -> dict:
     """Rows of a guarded query; its jobs are cancelled after the timeout."""
     result = guarded_sql(spark, df, sql, cap)
+    result = result.select(*[json_safe(field) for field in result.schema])
     group = f"guarded-{uuid4().hex}"
     context = spark.sparkContext
     context.setJobGroup(group, "guarded query", interruptOnCancel=True)
@@ -193,7 +202,7 @@ def critic_verdict(checks: DataFrame) -> DataFrame:
         F.array(
             F.struct(
                 F.lit("empty_execution").alias("type"),
-                F.lit("Tidak ada hasil eksekusi.").alias("message"),
+                F.lit(NO_RESULT).alias("message"),
             )
         ),
     )

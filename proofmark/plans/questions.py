@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from proofmark.functions.columns import col
 from proofmark.operators import profile as profiling
+from proofmark.operators.ordering import join_on_keys
 from proofmark.plans.wording import (
     CATEGORY_NAME_PATTERN,
     COMPARISON_PATTERN,
@@ -28,7 +29,7 @@ from proofmark.plans.wording import (
     QUALITY_PATTERN,
     TOP_PATTERN,
 )
-from proofmark.workspace import local_table
+from proofmark.workspace import local_table, pin
 
 MIN_FILTER_LENGTH = 3
 
@@ -46,7 +47,7 @@ def _first(items: Column) -> Column:
 
 
 def schema_catalog(dataset_id: str, df: DataFrame) -> DataFrame:
-    """Catalog rows from the schema alone: no samples, no date range, no data read."""
+    """Catalog rows from the schema alone: no date range, no data read."""
     width = len(df.columns)
     return local_table(
         df.sparkSession,
@@ -56,34 +57,52 @@ def schema_catalog(dataset_id: str, df: DataFrame) -> DataFrame:
             "column": (pa.string(), df.columns),
             "is_numeric": (pa.bool_(), [profiling.is_numeric(f) for f in df.schema]),
             "is_date": (pa.bool_(), [profiling.is_temporal(f) for f in df.schema]),
-            "sample_values": (pa.list_(pa.string()), [[] for _ in df.columns]),
             "date_end": (pa.string(), [None] * width),
         },
     )
 
 
-def question_catalog(
-    dataset_id: str, df: DataFrame, sample_size: int = profiling.SAMPLE_SIZE
-) -> DataFrame:
-    """Catalog with sampled text values and the last date, which the resolver needs."""
+def question_catalog(dataset_id: str, df: DataFrame) -> DataFrame:
+    """Catalog with the last date of every date column, which the resolver needs."""
     base = schema_catalog(dataset_id, df)
-    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    if texts:
-        picked = (
-            profiling.samples(df, texts, sample_size)
-            .groupBy("column")
-            .agg(F.sort_array(F.collect_list(F.struct("position", "value"))).alias("_s"))
-            .select("column", F.transform("_s", lambda item: item["value"]).alias("_samples"))
-        )
-        base = base.join(picked, "column", "left").withColumn(
-            "sample_values", F.coalesce("_samples", "sample_values")
-        ).drop("_samples")
     if any(profiling.is_temporal(f) for f in df.schema):
         ends = profiling.date_ranges(df).select("column", F.col("end").alias("_end"))
         base = base.join(ends, "column", "left").withColumn("date_end", F.col("_end")).drop("_end")
     return base
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0))
+
+
+def value_index(dataset_id: str, df: DataFrame) -> DataFrame:
+    """All distinct text values a question may name: (dataset_id, position, column, value,
+    pattern, words, width).  ``words`` is the join key: the words of the value, in order."""
+    texts = [(i, f.name) for i, f in enumerate(df.schema) if isinstance(f.dataType, T.StringType)]
+    items = [
+        F.struct(F.lit(i).alias("position"), F.lit(n).alias("column"), col(n).alias("value"))
+        for i, n in texts
+    ]
+    none = F.array().cast("array<struct<position:int,column:string,value:string>>")
+    values = (
+        df.select(F.inline(F.array(*items) if items else none))
+        .where(F.length("value") >= MIN_FILTER_LENGTH)
+        .distinct()
+    )
+    lowered = F.lower("value")
+    # (?U): word boundaries of all alphabets, as in the contract.
+    escaped = F.regexp_replace(lowered, r"([^\p{L}\p{N}\s])", r"\\$1")
+    return values.select(
+        F.lit(dataset_id).alias("dataset_id"),
+        "position",
+        "column",
+        "value",
+        F.concat(F.lit(r"(?U)\b"), escaped, F.lit(r"\b")).alias("pattern"),
+        F.array_join(_words(lowered), " ").alias("words"),
+        F.size(_words(lowered)).alias("width"),
+    ).where(F.col("width") > 0)
+
+
 def fold_catalog(
     catalog: DataFrame, extra_dimension_words: Sequence[tuple[str, str]] = ()
 ) -> DataFrame:
@@ -91,7 +110,7 @@ def fold_catalog(
     rows = catalog.groupBy("dataset_id").agg(
         F.sort_array(
             F.collect_list(
-                F.struct("position", "column", "is_numeric", "is_date", "sample_values", "date_end")
+                F.struct("position", "column", "is_numeric", "is_date", "date_end")
             )
         ).alias("_cols")
     )
@@ -139,31 +158,6 @@ def fold_catalog(
         _first(F.filter("_named", lambda c: c["is_date"])),
         _first(F.filter("_named", lambda c: F.lower(c["name"]).rlike(DATE_NAME_PATTERN))),
     )
-    values = F.filter(
-        F.transform(
-            "_cols",
-            lambda c: F.struct(
-                c["column"].alias("column"),
-                F.transform(
-                    F.filter(
-                        c["sample_values"],
-                        lambda v: (F.length(v) >= MIN_FILTER_LENGTH) & ~c["is_numeric"] & ~c["is_date"],
-                    ),
-                    lambda v: F.struct(
-                        v.alias("value"),
-                        F.lower(v).alias("lowered"),
-                        # (?U): word boundaries of all alphabets, as in the contract.
-                        F.concat(
-                            F.lit(r"(?U)\b"),
-                            F.regexp_replace(F.lower(v), r"([^\p{L}\p{N}\s])", r"\\$1"),
-                            F.lit(r"\b"),
-                        ).alias("pattern"),
-                    ),
-                ).alias("values"),
-            ),
-        ),
-        lambda c: F.size(c["values"]) > 0,
-    )
     return rows.select(
         "dataset_id",
         F.transform("_named", lambda c: c["name"]).alias("names"),
@@ -179,7 +173,6 @@ def fold_catalog(
         _first(
             F.filter("_named", lambda c: F.lower(c["name"]).rlike(CATEGORY_NAME_PATTERN))
         )["name"].alias("category_column"),
-        values.alias("value_columns"),
     )
 
 
@@ -196,22 +189,57 @@ def resolve_dimension() -> Column:
     return _first(named)["column"]
 
 
-def resolve_value_filters() -> Column:
-    """array<struct<column, value>>: per column the first sampled value named in full."""
-    lowered = F.col("lowered")
-    hits = F.transform(
-        "value_columns",
-        lambda c: F.struct(
-            c["column"].alias("column"),
-            _first(
-                F.filter(
-                    c["values"],
-                    lambda v: F.contains(lowered, v["lowered"]) & F.rlike(lowered, v["pattern"]),
-                )
-            )["value"].alias("value"),
-        ),
+def value_filters(questions: DataFrame, values: DataFrame) -> DataFrame:
+    """(dataset_id, text, filters): per column the value that a question names in full.
+
+    Equal questions are resolved once.  Their word sequences, of the widths that occur among
+    the values, are joined to the words of all values; the pattern then checks the exact
+    spelling.  Of several values the longest counts, then the first in order.
+    """
+    values = pin(values, "values")
+    widths = sorted(r[0] for r in values.select("width").distinct().collect())
+    asked = (
+        questions.select("dataset_id", "text")
+        .distinct()
+        .withColumn("_lowered", F.lower("text"))
+        .withColumn("_words", _words(F.col("_lowered")))
+    )
+    last = F.size("_words") - F.col("width")
+    sequences = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda i: F.array_join(F.slice("_words", i + 1, F.col("width")), " "),
     )
-    return F.filter(hits, lambda h: h["value"].isNotNull())
+    named = (
+        asked.withColumn("width", F.explode(F.array(*[F.lit(w) for w in widths]).cast("array<int>")))
+        .where(last >= 0)
+        .select("dataset_id", "text", "_lowered", F.explode(F.array_distinct(sequences)).alias("words"))
+        .join(values, ["dataset_id", "words"])
+        .where(F.rlike("_lowered", F.col("pattern")))
+    )
+    best = F.min(F.struct((-F.length("value")).alias("_length"), "value"))["value"]
+    return (
+        named.groupBy("dataset_id", "text", "position", "column")
+        .agg(best.alias("value"))
+        .groupBy("dataset_id", "text")
+        .agg(F.sort_array(F.collect_list(F.struct("position", "column", "value"))).alias("_f"))
+        .select(
+            "dataset_id",
+            "text",
+            F.transform(
+                "_f", lambda f: F.struct(f["column"].alias("column"), f["value"].alias("value"))
+            ).alias("filters"),
+        )
+    )
+
+
+def with_filters(questions: DataFrame, values: DataFrame | None) -> DataFrame:
+    """The questions with their ``filters``, none where there are no values."""
+    none = F.array().cast("array<struct<column:string,value:string>>")
+    if values is None:
+        return questions.withColumn("filters", none)
+    found = pin(value_filters(questions, values), "filters")
+    joined = join_on_keys(questions, found, ["dataset_id", "text"], "left")
+    return joined.withColumn("filters", F.coalesce("filters", none))
 
 
 def resolve_month(lowered: Column) -> Column:
@@ -261,13 +289,17 @@ def with_catalog(questions: DataFrame, folded: DataFrame) -> DataFrame:
     return prepared.join(folded, "dataset_id", "left")
 
 
-def plan_questions(questions: DataFrame, folded: DataFrame) -> DataFrame:
-    """One plan per question: intent, resolved columns, filters, months, evidence keys."""
-    resolved = with_catalog(questions, folded).withColumns(
+def plan_questions(
+    questions: DataFrame, folded: DataFrame, values: DataFrame | None = None
+) -> DataFrame:
+    """One plan per question: intent, resolved columns, filters, months, evidence keys.
+
+    ``values`` (``value_index``) holds what filters can name; without it there are none.
+    """
+    resolved = with_catalog(with_filters(questions, values), folded).withColumns(
         {
             "metric": resolve_metric(),
             "dimension": resolve_dimension(),
-            "filters": resolve_value_filters(),
             "current_month": resolve_month(F.col("lowered")),
         }
     )

@@ -67,7 +67,7 @@ COMPARISON_PATTERN = r"\b(turun|menurun|decline|dibanding|growth|pertumbuhan)"
 TOP_PATTERN = r"\b(top\b|tertinggi|teratas|paling besar|paling tinggi)"
 COUNT_PATTERN = r"\b(jumlah baris|berapa baris|count\b|jumlah data)"
 MEAN_PATTERN = r"\b(rata|average|mean\b)"
-# Column-name parts for the fallback breakdown of a comparison.
+# Column-name parts for the fallback breakdown of a comparison and for dates.
 CATEGORY_NAME_PATTERN = "category|kategori"
 DATE_NAME_PATTERN = "date|time|timestamp"
 
@@ -121,6 +121,7 @@ STATISTICS_ERRORS = {
     "auto": "Auto statistics memerlukan outcome+group atau x+y.",
     "method": "Metode statistik tidak didukung: ",
 }
+# Errors of the planner.
 PLANNING_ERRORS = {
     "blank": "Pertanyaan tidak boleh kosong.",
     "no_metric": "Planner tidak menemukan kolom numerik yang dapat dianalisis.",
@@ -146,6 +147,40 @@ RISKS = {
     "aggregate": ["definisi metrik mengikuti kolom yang tersedia"],
 }
 
+# The steps and the chart a plan announces, per kind.
+STEPS = {
+    "quality": ["periksa missing value", "urutkan kolom bermasalah", "susun batasan kualitas data"],
+    "comparison": [
+        "filter periode dan segmen",
+        "bandingkan dua bulan",
+        "urai perubahan per segmen",
+        "susun evidence-backed answer",
+    ],
+    "top": ["agregasikan metrik", "ranking segmen", "ambil top 10", "susun evidence"],
+    "grouped": ["filter data", "agregasikan per segmen", "validasi hasil", "susun evidence"],
+    "aggregate": [
+        "filter data",
+        "hitung agregasi",
+        "validasi hasil",
+        "susun evidence-backed answer",
+    ],
+}
+VISUALIZATIONS = {
+    "quality": {"type": "bar", "x": "column", "y": "missing_rate"},
+    "comparison": {"type": "bar", "x": "month", "y": "delta"},
+    "top": {"type": "bar", "x": "segment", "y": "metric_value"},
+    "grouped": {"type": "bar", "x": "segment", "y": "metric_value"},
+    "aggregate": {"type": "kpi", "x": None, "y": "metric_value"},
+}
+
+# Messages of the critic and limitations of finished tests.
+NO_RESULT = "Tidak ada hasil eksekusi."
+LIMITATIONS = {
+    "compare_groups": "Statistical association is not causal proof.",
+    "correlation": "Correlation does not imply causation.",
+    "chi_square": "Low expected counts can invalidate chi-square approximation.",
+}
+
 # Answer texts.
 ANSWER = {
     "title": "## Jawaban",

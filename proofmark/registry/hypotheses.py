@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from proofmark.functions.normality import CENTRE, FIRST_WEIGHT, MIDDLE, SECOND_WEIGHT, TAIL
 from proofmark.operators import statistics as s
 from proofmark.operators.ordering import average_rank, exact_medians
 from proofmark.plans.questions import schema_catalog
@@ -9,15 +10,10 @@ from proofmark.plans.wording import STATISTICS_ERRORS
 from proofmark.registry.base import fixed, query, table
 from proofmark.workspace import settle
 
-# Click against purchase events; F against O line items.
-_EVENTS = "(SELECT event_type AS label, value FROM events WHERE event_type IN ('click', 'purchase'))"
+# F against O line items: a whole table with two groups.
 _LINES = "(SELECT l_linestatus AS label, l_extendedprice AS value FROM lineitem)"
 
 
-def _events(spark, d):
-    return table(spark, d, "events").where(F.col("event_type").isin("click", "purchase"))
-
-
 def _moments_sql(source):
     """Struct-free moments of both groups in one row (a = first label, b = second)."""
     return (
@@ -92,11 +88,49 @@ def group_guards(spark, d):
     return s.paired_groups(described, ["l_orderkey"]).select("l_orderkey", "group_count", "reason")
 
 
-@query("shapiro_wilk")
+def _horner_sql(coefficients, x):
+    text = repr(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        text = f"({text} * ({x}) + {c!r}::DOUBLE)"
+    return text
+
+
+def _quantile_sql(p):
+    """The rational normal quantile of AS 241."""
+    q, r = f"({p} - 0.5)", f"sqrt(-ln(least({p}, 1.0 - {p})))"
+    parts = [
+        f"{_horner_sql(form[0], x)} / {_horner_sql(form[1], x)}"
+        for form, x in ((CENTRE, f"0.180625 - {q} * {q}"), (MIDDLE, f"{r} - 1.6"), (TAIL, f"{r} - 5.0"))
+    ]
+    return (
+        f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {parts[0]} "
+        f"WHEN {r} <= 5.0 THEN sign({q}) * {parts[1]} ELSE sign({q}) * {parts[2]} END"
+    )
+
+
+# Groups here have more than five values each, so both corrected weights apply.
+_SHAPIRO_SQL = (
+    "WITH v AS (SELECT event_type AS label, value - AVG(value) OVER (PARTITION BY event_type) AS x, "
+    "COUNT(*) OVER (PARTITION BY event_type) AS n, "
+    "ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY value) AS i FROM events), "
+    "q AS (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS p FROM v), "
+    f"m AS (SELECT label, n, i, x, {_quantile_sql('p')} AS m FROM q), "
+    "g AS (SELECT label, n, SUM(m * x) AS mx, SUM(m * m) AS mm, SUM(x * x) AS xx, "
+    "MAX(x) FILTER (WHERE i = n) - MAX(x) FILTER (WHERE i = 1) AS d1, "
+    "MAX(x) FILTER (WHERE i = n - 1) - MAX(x) FILTER (WHERE i = 2) AS d2, "
+    "MAX(m) FILTER (WHERE i = n) AS m1, MAX(m) FILTER (WHERE i = n - 1) AS m2 FROM m GROUP BY label, n), "
+    f"a AS (SELECT *, m1 / sqrt(mm) + {_horner_sql(FIRST_WEIGHT, '1.0 / sqrt(n)')} AS a1, "
+    f"m2 / sqrt(mm) + {_horner_sql(SECOND_WEIGHT, '1.0 / sqrt(n)')} AS a2 FROM g) "
+    "SELECT label, n, ROUND(least(1.0, power(a1 * d1 + a2 * d2 + (mx - m1 * d1 - m2 * d2) "
+    "/ sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)), 2) / xx), 6) AS shapiro_w FROM a"
+)
+
+
+@query("shapiro_wilk", _SHAPIRO_SQL)
 def shapiro_wilk(spark, d):
     values = s.group_values(table(spark, d, "events"), "value", "event_type")
-    sizes = settle(values.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    return s.shapiro_by_group(values, sizes, ["label"])
+    found = s.shapiro_by_group(values, ["label"])
+    return found.select("label", "n", fixed("shapiro_w").alias("shapiro_w"))
 
 
 @query(
@@ -140,16 +174,16 @@ def cohens_d(spark, d):
 
 
 _RANKED_SQL = (
-    f"WITH v AS (SELECT * FROM {_EVENTS}), r AS (SELECT label, value, "
+    f"WITH v AS (SELECT * FROM {_LINES}), r AS (SELECT label, value, "
     "RANK() OVER (ORDER BY value) + (COUNT(*) OVER (PARTITION BY value) - 1) / 2.0 AS rank FROM v), "
-    "u AS (SELECT COUNT(*) FILTER (WHERE label = 'click') AS n1, COUNT(*) FILTER (WHERE label = 'purchase') AS n2, "
-    "SUM(rank) FILTER (WHERE label = 'click') AS r1 FROM r), "
+    "u AS (SELECT COUNT(*) FILTER (WHERE label = 'F') AS n1, COUNT(*) FILTER (WHERE label = 'O') AS n2, "
+    "SUM(rank) FILTER (WHERE label = 'F') AS r1 FROM r), "
     "t AS (SELECT SUM(n * n * n - n) AS ties FROM (SELECT COUNT(*) AS n FROM v GROUP BY value)) "
 )
 
 
 def _mann_whitney(spark, d):
-    values = s.group_values(_events(spark, d), "value", "event_type")
+    values = s.group_values(table(spark, d, "lineitem"), "l_extendedprice", "l_linestatus")
     sizes = values.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return s.mann_whitney_u(values, settle(s.paired_groups(sizes), "sides"))
 
@@ -171,9 +205,33 @@ def rank_biserial(spark, d):
     return _mann_whitney(spark, d).select(fixed("effect_size").alias("effect_size"))
 
 
-@query("compare_groups")
+@query(
+    "compare_groups",
+    _RANKED_SQL
+    + ", m AS (SELECT AVG(value) FILTER (WHERE label = 'F') AS m1, AVG(value) FILTER (WHERE label = 'O') AS m2, "
+    "MEDIAN(value) FILTER (WHERE label = 'F') AS d1, MEDIAN(value) FILTER (WHERE label = 'O') AS d2 FROM v) "
+    "SELECT 'mann_whitney_u' AS method, 'F' AS first_group, 'O' AS second_group, n1, n2, "
+    "ROUND(m1, 4) AS mean1, ROUND(m2, 4) AS mean2, ROUND(d1, 4) AS median1, ROUND(d2, 4) AS median2, "
+    "CAST(r1 - n1 * (n1 + 1) / 2.0 AS DOUBLE) AS statistic, false AS normality_passed, "
+    "ROUND(2.0 * (r1 - n1 * (n1 + 1) / 2.0) / (n1 * n2) - 1, 6) AS effect_size FROM u, m",
+)
 def compare_groups(spark, d):
-    return s.compare_groups(_events(spark, d), "value", "event_type")
+    found = s.compare_groups(table(spark, d, "lineitem"), "l_extendedprice", "l_linestatus")
+    at = lambda name, i: F.get(name, F.lit(i))
+    return found.select(
+        "method",
+        at("groups", 0).alias("first_group"),
+        at("groups", 1).alias("second_group"),
+        at("sample_sizes", 0).alias("n1"),
+        at("sample_sizes", 1).alias("n2"),
+        fixed(at("means", 0), 4).alias("mean1"),
+        fixed(at("means", 1), 4).alias("mean2"),
+        fixed(at("medians", 0), 4).alias("median1"),
+        fixed(at("medians", 1), 4).alias("median2"),
+        "statistic",
+        "normality_passed",
+        fixed("effect_size").alias("effect_size"),
+    )
 
 
 @query(

@@ -35,7 +35,7 @@ _TEXT = (
     "WHEN 2 THEN 'Segmen mana paling tinggi berdasarkan c_acctbal untuk HOUSEHOLD atau MACHINERY?' "
     "WHEN 3 THEN 'Tampilkan o_custkey per status untuk ' || o_orderpriority || '.' "
     "WHEN 4 THEN 'Berapa jumlah baris ' || lower(o_orderpriority) || ' dan click?' "
-    "WHEN 5 THEN 'Berapa rata-rata user_id untuk purchase?' "
+    "WHEN 5 THEN 'Berapa rata-rata c_acctbal Customer#' || lpad(CAST(o_custkey AS STRING), 9, '0') || ' untuk purchase?' "
     f"WHEN 6 THEN 'Is growth in ' || {_MONTH_NAME} || ' above May, by priority or tipe?' "
     "WHEN 7 THEN 'Discount strata and ' || o_orderstatus || ' total' "
     "WHEN 8 THEN 'Top segment, compared with ' || o_orderpriority "
@@ -76,6 +76,10 @@ def _full_catalog(spark, d):
     return settle(reduce(DataFrame.unionByName, parts), "catalog")
 
 
+def _values(spark, d):
+    return reduce(DataFrame.unionByName, [q.value_index(name, table(spark, d, name)) for name in _NAMES])
+
+
 def _resolved(spark, d):
     return q.with_catalog(_questions(spark, d), _schema_rows(spark, d))
 
@@ -122,30 +126,27 @@ _INTENT_SQL = (
     "WHEN dimension IS NOT NULL THEN 'grouped' "
     f"WHEN {_said(COUNT_PATTERN)} THEN 'count' WHEN {_said(MEAN_PATTERN)} THEN 'average' ELSE 'total' END"
 )
-# The five most frequent texts per text column, ties by value, as in the profile.
-_SAMPLES_SQL = (
-    "SELECT dataset_id, column_name, v, ROW_NUMBER() OVER (PARTITION BY dataset_id, column_name ORDER BY n DESC, v) AS p, "
-    "column_order FROM ("
-    + union_sql(
-        [
-            f"SELECT '{name}' AS dataset_id, '{c}' AS column_name, {i} AS column_order, {c} AS v, COUNT(*) AS n "
-            f"FROM {name} GROUP BY ALL"
-            for name, columns in _NAMES.items()
-            for i, c in enumerate(columns)
-            if c in ("o_orderstatus", "o_orderpriority", "c_name", "c_mktsegment", "event_type", "props")
-        ]
-    )
-    + ")"
+# All texts of all text columns; per question and column the longest one named, then the first.
+_VALUES_SQL = union_sql(
+    [
+        f"SELECT DISTINCT '{name}' AS dataset_id, '{c}' AS column_name, {i} AS column_order, {c} AS v "
+        f"FROM {name} WHERE length({c}) >= 3"
+        for name, columns in _NAMES.items()
+        for i, c in enumerate(columns)
+        if c in ("o_orderstatus", "o_orderpriority", "c_name", "c_mktsegment", "event_type", "props")
+    ]
 )
 _FILTERS_SQL = (
-    f"samples AS (SELECT * FROM ({_SAMPLES_SQL}) WHERE p <= 5 AND length(v) >= 3), "
-    "hits AS (SELECT q.question_id, s.column_name, s.column_order, MIN(s.p) AS p FROM questions q "
-    "JOIN samples s ON q.dataset_id = s.dataset_id "
-    "AND regexp_matches(lower(q.text), '\\b' || regexp_escape(lower(s.v)) || '\\b') GROUP BY ALL), "
-    "found AS (SELECT h.question_id, string_agg(h.column_name || '=' || s.v, ';' ORDER BY h.column_order) AS filters, "
-    "string_agg(h.column_name, ',' ORDER BY h.column_order) AS filter_columns FROM hits h "
-    "JOIN questions q ON h.question_id = q.question_id "
-    "JOIN samples s ON s.dataset_id = q.dataset_id AND s.column_name = h.column_name AND s.p = h.p GROUP BY 1)"
+    f"vals AS ({_VALUES_SQL}), "
+    "asked AS (SELECT DISTINCT dataset_id, text FROM questions), "
+    "hits AS (SELECT q.dataset_id, q.text, s.column_name, s.column_order, s.v, ROW_NUMBER() OVER ("
+    "PARTITION BY q.dataset_id, q.text, s.column_name ORDER BY length(s.v) DESC, s.v) AS p FROM asked q "
+    "JOIN vals s ON q.dataset_id = s.dataset_id AND contains(lower(q.text), lower(s.v)) "
+    "AND regexp_matches(lower(q.text), '\\b' || regexp_escape(lower(s.v)) || '\\b')), "
+    "named AS (SELECT dataset_id, text, string_agg(column_name || '=' || v, ';' ORDER BY column_order) AS filters, "
+    "string_agg(column_name, ',' ORDER BY column_order) AS filter_columns FROM hits WHERE p = 1 GROUP BY ALL), "
+    "found AS (SELECT q.question_id, n.filters, n.filter_columns FROM questions q "
+    "JOIN named n ON q.dataset_id = n.dataset_id AND q.text = n.text)"
 )
 
 
@@ -179,10 +180,8 @@ def resolve_date_column(spark, d):
     "LEFT JOIN found f ON q.question_id = f.question_id",
 )
 def resolve_value_filters(spark, d):
-    joined = q.with_catalog(_questions(spark, d), q.fold_catalog(_full_catalog(spark, d)))
-    pairs = F.transform(
-        q.resolve_value_filters(), lambda f: F.concat(f["column"], F.lit("="), f["value"])
-    )
+    joined = q.with_filters(_questions(spark, d), _values(spark, d))
+    pairs = F.transform("filters", lambda f: F.concat(f["column"], F.lit("="), f["value"]))
     return joined.select("question_id", F.array_join(pairs, ";").alias("filters"))
 
 
@@ -229,15 +228,14 @@ _ALL_NAMES_SQL = "CASE dataset_id " + " ".join(
     "lambda x, i: list_position(string_split(names, ','), x) = i), ','), '') AS required_columns FROM t",
 )
 def required_columns(spark, d):
-    folded = q.fold_catalog(_full_catalog(spark, d), _EXTRA_WORDS)
-    plans = q.plan_questions(_questions(spark, d), folded)
+    plans = q.plan_questions(_questions(spark, d), _schema_rows(spark, d), _values(spark, d))
     return plans.select("question_id", F.array_join("required_columns", ",").alias("required_columns"))
 
 
 @query("plan_questions")
 def plan_questions(spark, d):
     folded = q.fold_catalog(_full_catalog(spark, d), _EXTRA_WORDS)
-    return q.plan_questions(_questions(spark, d), folded)
+    return q.plan_questions(_questions(spark, d), folded, _values(spark, d))
 
 
 @query("answer_question")

@@ -10,14 +10,16 @@ from proofmark.workspace import scratch_path
 
 @query(
     "scan_csv",
-    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, "
-    "CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders",
+    "SELECT doc_id, '\"' || lang || '\", she said' || chr(10) || text AS text, source FROM documents",
 )
 def scan_csv(spark, d):
+    """Texts with quotes, commas and line breaks, in RFC 4180 form (doubled quotes)."""
     path = scratch_path(spark, "csv")
-    orders = table(spark, d, "orders").withColumn("o_orderdate", F.to_date("o_orderdate"))
-    orders.write.option("header", True).csv(path)
-    return readers.scan_csv(spark, path)
+    said = F.concat(F.lit('"'), "lang", F.lit('", she said\n'), "text")
+    rows = table(spark, d, "documents").select("doc_id", said.alias("text"), "source")
+    rfc = {"header": True, "quoteAll": True, "quote": '"', "escape": '"'}
+    rows.write.options(**rfc).csv(path)
+    return readers.scan_csv(spark, path, "doc_id long, text string, source string")
 
 
 @query(

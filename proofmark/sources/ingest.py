@@ -43,7 +43,11 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     Spark's file scan leaves out files of zero bytes, so those are never admitted; a
     manifest from another listing that has them gets the verdict "empty".
     """
-    return spark.read.format("binaryFile").load(path).select("path", "length")
+    return _files(spark, path).select("path", "length")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
 def admit_files(manifest: DataFrame, max_mb: int = MAX_FILE_MB) -> DataFrame:
@@ -55,13 +59,26 @@ def admit_files(manifest: DataFrame, max_mb: int = MAX_FILE_MB) -> DataFrame:
 
 
 def fingerprint_files(spark: SparkSession, path: str, max_mb: int = MAX_FILE_MB) -> DataFrame:
-    """SHA-256 of each admitted file; the size limit bounds what one task loads."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= max_mb * 1024 * 1024)
-    return files.select(
-        F.regexp_extract("path", r"([^/]*)$", 1).alias("name"),
-        F.col("length").alias("size_bytes"),
+    """SHA-256 of each admitted file, and a row with the reason for every other one.
+
+    A task loads a file as a whole, so the size limit, which is part of the admission rules,
+    also bounds its memory; the filter reaches the scan, and larger files are not opened.
+    """
+    name, size = F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("length")
+    files, limit = _files(spark, path), max_mb * 1024 * 1024
+    read = files.where(size <= limit).select(
+        name,
+        size.alias("size_bytes"),
         F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("fingerprint"),
+        file_verdict(F.col("path"), size, max_mb).alias("reason"),
+    )
+    refused = files.where(size > limit).select(
+        name,
+        size.alias("size_bytes"),
+        F.lit(None).cast("string").alias("fingerprint"),
+        file_verdict(F.col("path"), size, max_mb).alias("reason"),
     )
+    return read.unionByName(refused)
 
 
 def fingerprint_table(df: DataFrame) -> DataFrame:

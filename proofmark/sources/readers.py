@@ -16,13 +16,26 @@ _NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|n
 _SPARK_TYPES = {"DATE": "timestamp_ntz", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string"}
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with header, commas, lenient rows, empty fields as NULL.
+def scan_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    multi_line: bool = True,
+) -> DataFrame:
+    """CSV with header, commas, doubled quotes, lenient rows, empty fields as NULL.
 
     Without ``schema`` the types come from the whole file, which costs one extra pass;
-    give a schema for large inputs.
+    give a schema for large inputs.  ``multi_line`` allows line breaks inside quotes, and
+    then a file is read by one task; turn it off for large files that have none, so that
+    they are split.
     """
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    reader = (
+        spark.read.option("header", True)
+        .option("mode", "PERMISSIVE")
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", multi_line)
+    )
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     return reader.csv(path)
 

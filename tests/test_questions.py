@@ -2,7 +2,7 @@ import datetime
 
 import pytest
 
-from proofmark.operators.report import answer_text, chart_spec
+from proofmark.operators.report import answer_text, chart_of
 from proofmark.plans.answer import answer_question, execute_plan, plan_question, reproducible
 from proofmark.plans.questions import question_catalog
 from proofmark.workspace import settle
@@ -104,12 +104,46 @@ def test_value_with_quote_and_regex_characters(spark):
         assert reproducible(df, answer.evidence)
 
 
-def test_texts():
+def test_texts(spark):
     grouped = {"id": "e", "key": "top_segments", "rows": [{"segment": c, "metric_value": i} for i, c in enumerate("abcd")]}
-    text = answer_text("Q", "aggregate", [grouped])
+    text = answer_text(spark, "Q", "aggregate", [grouped])
     assert "- `c`: **2**" in text and "- `d`" not in text and "**4**" in text
     quality = {"key": "missing_values", "rows": [{"column": "n", "missing_count": 3, "missing_rate": 0.6}]}
-    assert "- `n`: **60.0%**" in answer_text("Q", "quality", [quality])
-    assert "tidak menghasilkan baris" in answer_text("Q", "comparison", [])
-    assert chart_spec([quality]) is None
-    assert chart_spec([grouped])["points"][0] == {"x": "a", "y": 0}
+    assert "- `n`: **60.0%**" in answer_text(spark, "Q", "quality", [quality])
+    assert "tidak menghasilkan baris" in answer_text(spark, "Q", "comparison", [])
+    assert chart_of(spark, [quality]) is None
+    assert chart_of(spark, [grouped])["points"][0] == {"x": "a", "y": 0}
+
+
+def test_any_value_can_filter(spark):
+    df = spark.createDataFrame([(f"town{i}", i) for i in range(1, 9)] * 3, "city string, revenue int")
+    answer = answer_question(df, "Berapa total revenue untuk town7?")
+    assert answer.evidence[0]["rows"][0]["metric_value"] == 21
+    assert answer.plan.steps[0] == "filter data" and answer.plan.visualization["type"] == "kpi"
+
+
+def test_failing_query_is_a_result(spark, tmp_path):
+    df = spark.createDataFrame([("x", 5)], "city string, revenue int").selectExpr(
+        "city", "CAST(raise_error('broken') AS INT) AS revenue"
+    )
+    plan = plan_question(df, "Berapa total revenue?", values=spark.createDataFrame([], VALUES))
+    path = str(tmp_path / "trace")
+    failed = execute_plan(df, plan, trace=path)
+    assert failed.status == "failed" and failed.text is None
+    assert failed.validation["issues"][-1]["type"] == "execution_error"
+    assert not failed.validation["checks"]["executed_without_error"]
+    kept = {r["kind"]: r["status"] for r in spark.read.parquet(path).collect()}
+    assert kept == {"query": "failed", "validation": "revision_required"}
+
+
+def test_trace_of_an_answer(table, catalog, tmp_path):
+    path = str(tmp_path / "trace")
+    answer = answer_question(table, "Tampilkan revenue per kota.", catalog=catalog, trace=path)
+    rows = table.sparkSession.read.parquet(path).orderBy("sequence").collect()
+    assert [r["kind"] for r in rows] == ["query", "validation", "artifact", "evaluation"]
+    assert rows[-1]["detail"] == "1.0" and rows[0]["detail"] == answer.evidence[0]["sql"]
+
+
+VALUES = (
+    "dataset_id string, position int, column string, value string, pattern string, words string, width int"
+)

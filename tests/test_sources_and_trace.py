@@ -183,3 +183,18 @@ def test_grouped_apply_merges_batches(spark):
 
     merged = grouped_apply(df, ["k"], partial, "k long, total double", [F.sum("total").alias("total")])
     assert {r["k"]: r["total"] for r in merged.collect()} == {0: 249500.0, 1: 250000.0}
+
+
+def test_csv_follows_rfc_4180(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('id,said\n1,"He said ""hi"", ok"\n2,"two\nlines"\n3,\n')
+    rows = readers.scan_csv(spark, str(tmp_path / "t.csv")).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, 'He said "hi", ok'), (2, "two\nlines"), (3, None)]
+
+
+def test_every_file_has_a_row(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "large.csv").write_text("x" * 2_000_000)
+    (tmp_path / "a" / "small.csv").write_text("x")
+    rows = {r["name"]: r for r in ingest.fingerprint_files(spark, str(tmp_path), max_mb=1).collect()}
+    assert rows["large.csv"]["fingerprint"] is None and "1 MB" in rows["large.csv"]["reason"]
+    assert rows["small.csv"]["fingerprint"].startswith("sha256:")
