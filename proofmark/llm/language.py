@@ -230,9 +230,12 @@ def identify_languages(
     held = F.array(*[F.lit(float(x)) for x in total["_of"]])
 
     def likelihoods(column: str) -> DataFrame:
-        """log P(value | language), with one page of doubt spread over the values."""
+        """log P(value | language), drawn towards the share of the value among all pages."""
         shares = _shares(facts, [column], count)
-        logs = F.zip_with("_of", held, lambda n, all_: F.log((n + 0.5) / (all_ + 1.0)))
+        common = (F.col("_n") + 0.5) / (float(sum(total["_of"])) + 1.0)
+        logs = F.zip_with(
+            "_of", held, lambda n, all_: F.log((n + STRENGTH * common) / (all_ + STRENGTH))
+        )
         return shares.select(column, logs.alias(f"_by_{column}"))
 
     declarations, endings = pin(likelihoods("declared"), "declared"), pin(likelihoods("suffix"), "suffix")

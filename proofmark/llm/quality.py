@@ -116,7 +116,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple:
     share = float(y.mean()) if len(y) else 0.5
     random = np.random.default_rng(SEED)
     zero = (np.float32(0), np.zeros(width, np.float32), np.zeros((width, FACTORS), np.float32))
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         edge = np.clip(share, 1e-3, 1 - 1e-3)
         return (np.float32(np.log(edge / (1 - edge))), *zero[1:])
     model = [

@@ -142,7 +142,7 @@ def _scored(width: int, k: int, exact: bool):
             scores = left @ right.T
         # Own rows sink to the end; a stable sort keeps smaller ids first among ties.
         own = asked[:, None] == ids[None, :]
-        ranked = np.where(own, np.iinfo(np.int64).min, scores)
+        ranked = np.where(own, -np.iinfo(np.int64).max, scores)
         take = min(k, len(ids))
         if len(ids) > 4 * k:
             least = -np.partition(-ranked, take - 1, axis=1)[:, take - 1]
