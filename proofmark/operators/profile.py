@@ -16,8 +16,8 @@ from proofmark.operators.ordering import exact_medians, median_brackets
 from proofmark.plans.wording import PII_NAME_PARTS, TARGET_NAME_PARTS, WARNINGS
 from proofmark.workspace import local_table, settle, settle_rows
 
-# Longer texts are counted by their SHA-256, so that a shuffle moves 64 characters
-# per value instead of whole documents.
+# Longer texts are counted by their beginning and SHA-256, so that a shuffle does not move
+# whole documents.
 _INLINE_TEXT = 64
 SAMPLE_SIZE = 5
 IDENTIFIER_SHARE = 0.98
@@ -45,21 +45,32 @@ def _contains_map(data_type: T.DataType) -> bool:
     return False
 
 
-def comparable(field: T.StructField) -> Column:
-    """The column in a form that can be grouped: no maps, no texts beyond 64 characters."""
+def shown(field: T.StructField) -> Column:
+    """The column as text: hexadecimal for bytes, JSON for nested values."""
     value, kind = col(field.name), field.dataType
-    if isinstance(kind, T.StringType):
-        return F.when(F.length(value) <= _INLINE_TEXT, value).otherwise(
-            F.concat(F.lit("sha256:"), F.sha2(value, 256))
-        )
     if isinstance(kind, T.BinaryType):
-        return F.when(F.octet_length(value) <= _INLINE_TEXT, F.hex(value)).otherwise(
-            F.concat(F.lit("sha256:"), F.sha2(value, 256))
-        )
+        return F.hex(value)
     if isinstance(kind, T.MapType) and not _contains_map(kind.keyType) and not _contains_map(kind.valueType):
-        return F.sha2(F.to_json(F.array_sort(F.map_entries(value))), 256)
+        return F.to_json(F.array_sort(F.map_entries(value)))
     if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
-        return F.sha2(F.to_json(value, {"ignoreNullFields": "false"}), 256)
+        return F.to_json(value, {"ignoreNullFields": "false"})
+    return value.cast("string")
+
+
+def _long_text(field: T.StructField) -> bool:
+    return isinstance(
+        field.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)
+    )
+
+
+def comparable(field: T.StructField) -> Column:
+    """The column in a form that can be grouped: no maps, and long texts by their first 64
+    characters and their digest, so that their order is that of their beginnings."""
+    if _long_text(field):
+        text = shown(field)
+        short = F.concat(F.substring(text, 1, _INLINE_TEXT), F.lit("sha256:"), F.sha2(text, 256))
+        return F.when(F.length(text) <= _INLINE_TEXT, text).otherwise(short)
+    value, kind = col(field.name), field.dataType
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return value + F.lit(0.0).cast(kind)  # -0.0 and 0.0 are one value
     return value
@@ -191,9 +202,10 @@ def distinct_approx(df: DataFrame, buckets: int = 12) -> DataFrame:
 def samples(
     df: DataFrame, columns: Sequence[str] | None = None, size: int = SAMPLE_SIZE
 ) -> DataFrame:
-    """The most frequent values per column, ties by value: (column, value, n, position).
+    """The most frequent values per column, as text: (column, value, n, position).
 
-    Texts longer than 64 characters are picked by digest and fetched whole in a second scan.
+    Ties go by the first 64 characters of the value, then by its digest.  Longer texts are
+    picked by that key and fetched whole in a second scan.
     """
     return _whole_samples(df, *settle_rows(_ranked_values(df, columns, size), "samples"))
 
@@ -209,30 +221,20 @@ def _ranked_values(df: DataFrame, columns: Sequence[str] | None, size: int) -> D
 
 def _whole_samples(df: DataFrame, best: DataFrame, rows: pa.Table | None) -> DataFrame:
     """Put whole texts in place of digests."""
-    known = [True] if rows is None else [str(v).startswith("sha256:") for v in rows["value"].to_pylist()]
-    texts = [f for f in df.schema if isinstance(f.dataType, T.StringType)]
+    known = [True] if rows is None else ["sha256:" in str(v) for v in rows["value"].to_pylist()]
+    texts = [f for f in df.schema if _long_text(f)]
     if not texts or not any(known):
         return best
-    longs = (
-        df.select(
-            F.explode(
-                F.filter(
-                    F.array(
-                        *[
-                            F.when(
-                                F.length(col(f.name)) > _INLINE_TEXT,
-                                F.struct(F.lit(f.name).alias("column"), col(f.name).alias("text")),
-                            )
-                            for f in texts
-                        ]
-                    ),
-                    lambda item: item.isNotNull(),
-                )
-            ).alias("_item")
+    items = [
+        F.when(
+            F.length(shown(f)) > _INLINE_TEXT,
+            F.struct(
+                F.lit(f.name).alias("column"), comparable(f).alias("value"), shown(f).alias("text")
+            ),
         )
-        .select("_item.column", "_item.text")
-        .withColumn("value", F.concat(F.lit("sha256:"), F.sha2("text", 256)))
-    )
+        for f in texts
+    ]
+    longs = df.select(F.explode(F.array_compact(F.array(*items))).alias("_item")).select("_item.*")
     # At most ``size`` digests per column: small by construction.
     whole = (
         longs.join(F.broadcast(best.select("column", "value")), ["column", "value"], "left_semi")

@@ -164,3 +164,16 @@ def test_missing_values_scan_once(sales, tmp_path):
     sales.write.parquet(str(tmp_path / "sales"))
     stored = sales.sparkSession.read.parquet(str(tmp_path / "sales"))
     assert plan_of(p.missing(stored)).count("FileScan") == 1
+
+
+def test_samples_of_long_and_nested_values(spark):
+    long = "b" * 63 + "yz" * 50
+    rows = [([1.5] * 40, {"k": 1}, "a" * 70, bytearray(range(60))), ([2.0], {"j": 2}, long, bytearray(b"x"))]
+    df = spark.createDataFrame(rows, "v array<double>, m map<string,int>, t string, b binary")
+    found = {}
+    for r in p.samples(df).orderBy("column", "position").collect():
+        found.setdefault(r["column"], []).append(r["value"])
+    assert found["t"] == ["a" * 70, long]
+    assert found["b"] == [bytes(range(60)).hex().upper(), "78"]
+    assert found["v"] == ["[" + ",".join(["1.5"] * 40) + "]", "[2.0]"]
+    assert found["m"] == ['[{"key":"j","value":2}]', '[{"key":"k","value":1}]']
