@@ -23,11 +23,39 @@ def _per_column(columns, template, source):
     return f"WITH t AS (SELECT * FROM {source}) " + union_sql([template.format(c=c) for c in columns])
 
 
-@query("profile_schema")
+# Types as the tables carry them.
+_SCHEMAS = {
+    "orders": (
+        ("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
+        ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string"),
+    ),
+    "documents": (
+        ("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"),
+        ("n_chars", "bigint"),
+    ),
+    "labels": (("doc_id", "bigint"), ("quality", "int"), ("toxic", "int")),
+    "embeddings": (("vec_id", "bigint"), ("embedding", "array<float>"), ("label", "int")),
+}
+
+
+@query(
+    "profile_schema",
+    union_sql(
+        [
+            f"SELECT '{t}' AS dataset_id, CAST({i} AS INTEGER) AS position, '{c}' AS \"column\", '{kind}' AS type, "
+            f"true AS nullable, COUNT(*) - COUNT({c}) AS missing_count FROM {t}"
+            for t, columns in _SCHEMAS.items()
+            for i, (c, kind) in enumerate(columns)
+        ]
+    ),
+)
 def profile_schema(spark, d):
-    names = ("region nation customer supplier part orders lineitem events documents embeddings "
-             "pages benchmark labels conversations").split()
-    parts = [p.profile_schema(table(spark, d, n)).select(F.lit(n).alias("dataset_id"), "*") for n in names]
+    """The schema rows beside what is missing in each column."""
+    parts = []
+    for name in _SCHEMAS:
+        df = table(spark, d, name)
+        gaps = p.missing(df).select("column", "missing_count")
+        parts.append(p.profile_schema(df).join(gaps, "column").select(F.lit(name).alias("dataset_id"), "*"))
     return reduce(DataFrame.unionByName, parts)
 
 

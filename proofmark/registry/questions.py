@@ -232,10 +232,45 @@ def required_columns(spark, d):
     return plans.select("question_id", F.array_join("required_columns", ",").alias("required_columns"))
 
 
-@query("plan_questions")
+_REQUIRED_SQL = (
+    f"t AS (SELECT question_id, CASE intent WHEN 'quality' THEN {_ALL_NAMES_SQL} "
+    "WHEN 'comparison' THEN concat_ws(',', date_column, metric, dimension, filter_columns) "
+    "WHEN 'count' THEN filter_columns ELSE concat_ws(',', metric, dimension, filter_columns) END AS names FROM j)"
+)
+
+
+@query(
+    "plan_questions",
+    f"WITH questions AS (SELECT * FROM {_QUESTIONS}), {_FILTERS_SQL}, "
+    f"r AS (SELECT *, {_INTENT_SQL} AS intent FROM ({_BASE_SQL})), "
+    "j AS (SELECT r.*, f.filters, f.filter_columns FROM r LEFT JOIN found f ON r.question_id = f.question_id), "
+    f"{_REQUIRED_SQL}, "
+    "y AS (SELECT 'orders' AS dataset_id, CAST(year(MAX(o_orderdate)) AS INTEGER) AS year FROM orders "
+    "UNION ALL SELECT 'events', CAST(year(MAX(ts)) AS INTEGER) FROM events) "
+    "SELECT j.question_id, j.dataset_id, j.text, j.intent, "
+    "CASE j.intent WHEN 'quality' THEN 'quality' WHEN 'comparison' THEN 'comparison' ELSE 'aggregate' END AS answer_type, "
+    "CASE WHEN j.intent = 'quality' THEN 'missing_values' WHEN j.intent = 'comparison' AND j.dimension IS NOT NULL "
+    "THEN 'monthly_comparison,segment_contribution' WHEN j.intent = 'comparison' THEN 'monthly_comparison' "
+    "WHEN j.intent = 'top' THEN 'top_segments' WHEN j.intent = 'grouped' THEN 'grouped_aggregate' "
+    "ELSE 'aggregate' END AS evidence_keys, j.metric, j.dimension AS breakdown, j.date_column, y.year, "
+    "CAST(j.current_month AS INTEGER) AS current_month, "
+    "CAST(CASE WHEN j.current_month = 1 THEN 12 ELSE j.current_month - 1 END AS INTEGER) AS previous_month, "
+    "COALESCE(j.filters, '') AS filters, COALESCE(array_to_string(list_filter(string_split(t.names, ','), "
+    "lambda x, i: list_position(string_split(t.names, ','), x) = i), ','), '') AS required_columns "
+    "FROM j JOIN t ON j.question_id = t.question_id LEFT JOIN y ON j.dataset_id = y.dataset_id",
+)
 def plan_questions(spark, d):
+    """Plans with their lists as text."""
     folded = q.fold_catalog(_full_catalog(spark, d), _EXTRA_WORDS)
-    return q.plan_questions(_questions(spark, d), folded, _values(spark, d))
+    plans = q.plan_questions(_questions(spark, d), folded, _values(spark, d))
+    pairs = F.transform("filters", lambda f: F.concat(f["column"], F.lit("="), f["value"]))
+    return plans.withColumns(
+        {
+            "evidence_keys": F.array_join("evidence_keys", ","),
+            "filters": F.array_join(pairs, ";"),
+            "required_columns": F.array_join("required_columns", ","),
+        }
+    )
 
 
 @query("answer_question")

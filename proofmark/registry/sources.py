@@ -83,7 +83,14 @@ def coerce_types(spark, d):
 
 @query("admit_files")
 def admit_files(spark, d):
-    return ingest.admit_files(ingest.list_files(spark, d))
+    """The verdict on each file of the documents, with the rows it would bring."""
+    path = f"{d}/documents.parquet"
+    rows = (
+        spark.read.parquet(path)
+        .groupBy(F.col("_metadata.file_name").alias("name"))
+        .agg(F.count("doc_id").alias("documents"), F.sum("n_chars").alias("characters"))
+    )
+    return ingest.admit_files(ingest.list_files(spark, path)).join(rows, "name", "left")
 
 
 @query("fingerprint_files")
