@@ -16,6 +16,7 @@ from proofmark.functions.columns import (
     previous_month,
 )
 from proofmark.operators import profile
+from proofmark.workspace import pin
 
 TOP_SEGMENTS = 10
 
@@ -173,12 +174,15 @@ def risky_columns(missing: DataFrame, first: int = 5) -> DataFrame:
 def leading_segments(grouped: DataFrame, first: int = 3) -> DataFrame:
     """The first segments of a grouped result and the number of segments returned.
 
-    The count is its own aggregate, so a result with very many segments is never
-    gathered; only the leading rows are numbered.
+    The result is computed once and written; its count comes from the file footers, and only
+    the leading rows are numbered.
     """
+    grouped = pin(grouped, "segments")
     ranking = Window.partitionBy(F.lit(0)).orderBy(*_ranked("metric_value", "segment"))
-    top = grouped.orderBy(*_ranked("metric_value", "segment")).limit(first).select(
-        F.row_number().over(ranking).alias("position"), "segment", "metric_value", F.lit(1).alias("_one")
+    top = grouped.orderBy(*_ranked("metric_value", "segment")).limit(first)
+    return top.select(
+        F.row_number().over(ranking).alias("position"),
+        "segment",
+        "metric_value",
+        F.lit(grouped.count()).cast("long").alias("segment_count"),
     )
-    total = grouped.agg(F.count(F.lit(1)).alias("segment_count")).withColumn("_one", F.lit(1))
-    return top.join(total, "_one").drop("_one")

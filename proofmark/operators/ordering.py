@@ -99,25 +99,12 @@ def median_brackets(columns: Sequence[Column]) -> list[Column]:
 
 
 def _bracketed(
-    work: DataFrame,
-    brackets: DataFrame,
-    rows: pa.Table | None,
-    keys: Sequence[str],
-    by: Sequence[str],
-    i: int,
-    column: str,
+    work: DataFrame, brackets: DataFrame, keys: Sequence[str], i: int, column: str
 ) -> DataFrame:
     """Counts of one column up to the upper bound, with NULL for all below the bracket."""
     values = work.select(*keys, F.col(column).cast("double").alias("value"))
     low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-    if not by and rows is not None:
-        # One bracket: literal bounds, which reach the Parquet scan.
-        low, high = (
-            F.lit(rows[name][0].as_py() if rows.num_rows else None).cast("double")
-            for name in (f"_lo{i}", f"_hi{i}")
-        )
-    else:
-        values = join_on_keys(values, brackets.select(*keys, f"_lo{i}", f"_hi{i}"), keys)
+    values = join_on_keys(values, brackets.select(*keys, f"_lo{i}", f"_hi{i}"), keys)
     return (
         values.where(F.col("value") <= high)
         .select(*keys, F.when(F.col("value") >= low, F.col("value")).alias("value"))
@@ -127,18 +114,52 @@ def _bracketed(
     )
 
 
+def _bracketed_at_once(work: DataFrame, rows: pa.Table, columns: Sequence[str]) -> DataFrame:
+    """Counts of all columns of an ungrouped table: one scan adds up what lies below each
+    bracket, one takes out the values inside a bracket (about 0.2 % of the rows)."""
+    values = [F.col(c).cast("double") for c in columns]
+    low, high = (
+        [F.lit(rows[f"{name}{i}"][0].as_py() if rows.num_rows else None).cast("double") for i in range(len(columns))]
+        for name in ("_lo", "_hi")
+    )
+    item = [
+        F.when((v >= a) & (v <= b), F.struct(F.lit(i).alias("_i"), v.alias("value")))
+        for i, (v, a, b) in enumerate(zip(values, low, high))
+    ]
+    any_inside = reduce(lambda x, y: x | y, [(v >= a) & (v <= b) for v, a, b in zip(values, low, high)])
+    inside = (
+        work.where(any_inside)
+        .select(F.inline(F.array_compact(F.array(*item))))
+        .groupBy("_i", "value")
+        .agg(F.count(F.lit(1)).alias("_times"))
+    )
+    sums = work.agg(*[F.count_if(v < a).alias(f"_b{i}") for i, (v, a) in enumerate(zip(values, low))])
+    none = F.lit(None).cast("double")
+    below = sums.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(i).alias("_i"), none.alias("value"), F.col(f"_b{i}").alias("_times"))
+                    for i in range(len(columns))
+                ]
+            )
+        )
+    )
+    return inside.unionByName(below).withColumn("_all", F.lit(0))
+
+
 def exact_medians(
     df: DataFrame,
     columns: Sequence[str],
     by: Sequence[str] = (),
     brackets: DataFrame | None = None,
 ) -> DataFrame:
-    """Exact medians in two scans: (by..., column, n, median).
+    """Exact medians: (by..., column, n, median).
 
-    Scan 1 brackets each median with a quantile sketch.  Scan 2 (one branch per column,
-    reading that column only) counts the values inside the bracket (about 0.2 % of the
-    rows) one by one and everything below it as one NULL entry, which sorts first and so
-    carries the offset.  The median is then read off by position; no value list of a
+    The first scan brackets each median with a quantile sketch.  Then the values inside the
+    bracket (about 0.2 % of the rows) are counted one by one and everything below it as one
+    NULL entry, which sorts first and so carries the offset: for a whole table with one scan
+    each over all columns, for groups with one branch per column.  The median is then read off by position; no value list of a
     whole group is ever built.
     ``brackets`` takes the result of scan 1 when the caller ran it with other aggregates.
     """
@@ -154,10 +175,13 @@ def exact_medians(
     else:
         largest = brackets.agg(F.max(F.greatest(F.lit(0), *sizes))).first()[0]
 
-    counts = reduce(
-        DataFrame.unionAll,
-        [_bracketed(work, brackets, rows, keys, by, i, c) for i, c in enumerate(columns)],
-    )
+    if not by and rows is not None:
+        counts = _bracketed_at_once(work, rows, columns)
+    else:
+        counts = reduce(
+            DataFrame.unionAll,
+            [_bracketed(work, brackets, keys, i, c) for i, c in enumerate(columns)],
+        )
     if largest * 4 * _HALF_WIDTH > _ONE_SORT:
         placed = place_in_order(counts, [*keys, "_i"], ["value"], weight="_times")
     else:

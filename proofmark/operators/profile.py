@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from proofmark.functions.columns import col
 from proofmark.operators.ordering import exact_medians, median_brackets
 from proofmark.plans.wording import PII_NAME_PARTS, TARGET_NAME_PARTS, WARNINGS
-from proofmark.workspace import local_table, settle, settle_rows
+from proofmark.workspace import columnar, local_table, settle, settle_rows
 
 # Longer texts are counted by their beginning and SHA-256, so that a shuffle does not move
 # whole documents.
@@ -162,7 +162,7 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     One branch per column: each reads only its own column from a columnar source and
     groups on the native type, so the rows are never multiplied by the column count.
     """
-    return reduce(DataFrame.unionAll, _value_branches(df, columns))
+    return reduce(DataFrame.unionAll, _value_branches(columnar(df), columns))
 
 
 def distinct(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -171,7 +171,7 @@ def distinct(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     ``n`` is read although every group has n > 0: the branches then equal those of
     ``value_counts`` and a full profile shuffles each column once for both.
     """
-    wanted = set(columns or df.columns)
+    df, wanted = columnar(df), set(columns or df.columns)
     branches = [
         _value_groups(df, field)
         .agg(F.count_if(F.col("n") > 0).alias("distinct_count"))
@@ -207,6 +207,7 @@ def samples(
     Ties go by the first 64 characters of the value, then by its digest.  Longer texts are
     picked by that key and fetched whole in a second scan.
     """
+    df = columnar(df)
     return _whole_samples(df, *settle_rows(_ranked_values(df, columns, size), "samples"))
 
 
@@ -334,6 +335,7 @@ def classified(facts: DataFrame) -> DataFrame:
 
 def column_facts(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
     """Schema, missing, distinct and classes, one row per column."""
+    df = columnar(df)
     counted = distinct(df) if exact_distinct else distinct_approx(df)
     return classified(profile_schema(df).join(missing(df), "column").join(counted, "column"))
 
@@ -386,6 +388,7 @@ class Profile:
 def profile(df: DataFrame, exact_distinct: bool = True, sample_size: int = SAMPLE_SIZE) -> Profile:
     """Full profile.  One scan for all plain aggregates, one for the medians, one
     pruned scan per column for distinct values and samples together, one for duplicates."""
+    df = columnar(df)
     numbers = [f.name for f in df.schema if is_numeric(f)]
     dates = [f.name for f in df.schema if is_temporal(f)]
     # One row, so the later steps reuse it instead of scanning again.

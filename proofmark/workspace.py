@@ -34,6 +34,24 @@ def pin(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Nodes of a plan that reads columns of one file relation or of rows at hand.
+_PLAIN = ("Project", "Filter", "LogicalRelation", "LocalRelation", "SubqueryAlias", "View")
+
+
+def columnar(df: DataFrame) -> DataFrame:
+    """``df`` itself if it reads plain files, else written once.
+
+    For work that reads the columns one by one: a file scan is pruned to the column, a
+    derived table would be computed again for each.
+    """
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.getClass().getSimpleName() in _PLAIN:
+        if node.children().isEmpty():
+            return df
+        node = node.children().apply(0)
+    return pin(df, "columns")
+
+
 # Results of at most this many rows may be carried through the driver as a local table.
 _SMALL_ROWS = 1_000
 
