@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofmark.operators.ordering import exact_medians
 from proofmark.operators.profile import comparable
+from proofmark.operators.sql_guard import cleaned_sql, policy_reason
 
 
 def numerical_score(actual: Column, expected: Column, tolerance: Column) -> Column:
@@ -93,6 +94,46 @@ def record_status(results: DataFrame) -> DataFrame:
     return results.withColumn("status", F.when(passed, "passed").otherwise("failed"))
 
 
+def evaluate_records(records: DataFrame, answers: DataFrame) -> DataFrame:
+    """Score every record against the answer with its id: one table job.
+
+    ``records``: id, category, evidence_key, row, field and the expectation one_of, lt, gt, value,
+    value_text, tolerance.  ``answers``: id, execution_success, evidence
+    array<struct<key, rows array<json text>>>, answer, sqls, reproducible, latency_ms.  A record
+    without an answer fails.  The result goes to ``benchmark_summary`` and
+    ``benchmark_by_category``.
+    """
+    found = F.get(F.filter("evidence", lambda e: e["key"] == F.col("evidence_key")), F.lit(0))
+    text = F.col("_text")
+    number = text.try_cast("double")
+    scored = (
+        records.join(answers, "id", "left")
+        .withColumn("_text", select_evidence_cell(found["rows"], F.col("row"), F.col("field")))
+        .withColumns(
+            {
+                "execution_success": F.coalesce("execution_success", F.lit(False)),
+                "score": expectation_score(
+                    number, text, F.col("one_of"), F.col("lt"), F.col("gt"), F.col("value"),
+                    F.col("value_text"), F.col("tolerance"),
+                ),
+                "numeric_case": F.col("value").isNotNull(),
+                "evidence_coverage": evidence_coverage(
+                    F.col("answer"), F.transform("evidence", lambda e: e["key"])
+                ),
+                "read_only_sql_valid": F.forall(
+                    "sqls", lambda sql: policy_reason(cleaned_sql(sql)).isNull()
+                ),
+            }
+        )
+        .withColumn("score", F.when(F.col("execution_success"), F.col("score")).otherwise(0.0))
+        .withColumnRenamed("_text", "actual")
+    )
+    return record_status(scored).select(
+        "id", "category", "status", "score", "actual", "execution_success", "numeric_case",
+        "evidence_coverage", "read_only_sql_valid", "reproducible", "latency_ms",
+    )
+
+
 def _rate(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0))
 

@@ -155,6 +155,46 @@ def reproducibility(spark, d):
     return evaluate.rows_equal(recorded, again)
 
 
+@query(
+    "evaluate_records",
+    "WITH r AS (SELECT o_custkey, o_orderpriority AS s, COUNT(*) AS n, ROW_NUMBER() OVER (PARTITION BY o_custkey "
+    "ORDER BY COUNT(*) DESC, o_orderpriority) AS p FROM orders GROUP BY 1, 2), "
+    "q AS (SELECT c.c_mktsegment AS category, c.c_custkey % 2 AS kind, r.s, r.n FROM customer c "
+    "LEFT JOIN r ON c.c_custkey = r.o_custkey AND r.p = 1), "
+    "e AS (SELECT category, CASE WHEN s IS NULL THEN 0.0 WHEN kind = 0 THEN CAST(s = '1-URGENT' AS DOUBLE) "
+    "ELSE CAST(n > 3 AS DOUBLE) END AS score FROM q) "
+    "SELECT category, COUNT(*) AS total, COUNT(*) FILTER (WHERE score = 1) AS passed, ROUND(AVG(score), 6) AS score "
+    "FROM e GROUP BY 1",
+)
+def evaluate_records(spark, d):
+    """One record per customer: the leading priority of its orders, or how often it occurs."""
+    even = F.col("c_custkey") % 2 == 0
+    records = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"),
+        F.col("c_mktsegment").alias("category"),
+        F.lit("grouped_aggregate").alias("evidence_key"),
+        F.lit(0).alias("row"),
+        F.when(even, "segment").otherwise("metric_value").alias("field"),
+        F.lit(None).cast("array<string>").alias("one_of"),
+        F.lit(None).cast("double").alias("lt"),
+        F.when(~even, F.lit(3.0)).alias("gt"),
+        F.lit(None).cast("double").alias("value"),
+        F.when(even, F.lit("1-URGENT")).alias("value_text"),
+        F.lit(None).cast("double").alias("tolerance"),
+    )
+    answers = _customer_evidence(spark, d).select(
+        F.col("analysis_id").alias("id"),
+        F.lit(True).alias("execution_success"),
+        F.array(F.struct(F.lit("grouped_aggregate").alias("key"), "rows")).alias("evidence"),
+        F.lit("[evidence:grouped_aggregate]").alias("answer"),
+        F.array(F.lit("SELECT 1")).alias("sqls"),
+        F.lit(True).alias("reproducible"),
+        F.lit(1.0).alias("latency_ms"),
+    )
+    found = evaluate.benchmark_by_category(evaluate.evaluate_records(records, answers))
+    return found.withColumn("score", fixed("score"))
+
+
 @query(
     "duplicate_record_ids",
     "SELECT id, COUNT(*) AS n, CASE WHEN id = '' THEN 'missing' ELSE 'duplicate' END AS problem FROM "
