@@ -13,12 +13,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared checkpoint folder, or else under the warehouse."""
+def _run_folder(spark: SparkSession) -> str:
+    """This application's folder under the shared checkpoint folder, or else the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/proofmark/{label}-{uuid4().hex}"
+    return f"{base.rstrip('/')}/proofmark/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder of this application."""
+    return f"{_run_folder(spark)}/{label}-{uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results built on them end with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pin(df: DataFrame, label: str) -> DataFrame:

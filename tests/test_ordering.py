@@ -94,3 +94,15 @@ def test_many_groups_use_a_written_table(spark):
     df = spark.range(6000).selectExpr("id % 2000 AS k", "CAST(id AS DOUBLE) AS v")
     found = o.exact_medians(df, ["v"], ["k"])
     assert found.where("median <> k + 2000").count() == 0 and found.count() == 2000
+
+
+def test_scratch_folder_and_columnar_inputs(spark):
+    from pathlib import Path
+
+    from proofmark.workspace import _run_folder, columnar, pin
+
+    kept = pin(spark.range(5), "five")
+    assert kept.count() == 5 and list(Path(_run_folder(spark)).glob("five-*"))
+    assert columnar(kept.where("id > 1")) is not None and columnar(kept).sameSemantics(kept)
+    joined = kept.join(spark.range(3), "id")
+    assert not columnar(joined).sameSemantics(joined) and columnar(joined).count() == 3
