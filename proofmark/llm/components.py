@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star.
 
 Every step maps each node to the least node it knows and rewires its neighbours, so a hub
-is rewired by a join, never gathered.  Each round is written to the shared folder, which
+is rewired by a join, never gathered.  The least nodes are written before they are joined, so
+that the join can split the rows of a hub.  Each step is written to the shared folder, which
 cuts the lineage and lets lost executors resume from there.
 """
 
@@ -16,7 +17,7 @@ from proofmark.workspace import pin
 def _large_star(edges: DataFrame) -> DataFrame:
     """Connect the larger neighbours of each node to the least of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("w"))
+    least = pin(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("w")), "least")
     return (
         both.where(F.col("v") > F.col("u"))
         .join(least, "u")
@@ -29,7 +30,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Connect each node and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("w"))
+    least = pin(down.groupBy("u").agg(F.min("v").alias("w")), "least")
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("w").alias("v"))
     return (
         moved.where(F.col("u") != F.col("v"))
@@ -52,7 +53,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = pin(edges.where(F.col("u") != F.col("v")).select("u", "v"), "edges")
     before = None
     while True:
-        edges = pin(_small_star(_large_star(edges)), "stars")
+        edges = pin(_small_star(pin(_large_star(edges), "stars")), "stars")
         now = _state(edges)
         if now == before:
             break

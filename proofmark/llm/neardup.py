@@ -224,7 +224,7 @@ def _unfinished(members: DataFrame, labels: DataFrame) -> DataFrame:
     ).withColumn("label", F.coalesce("component", "id"))
     rest = F.when(F.col("id") != F.col("least"), F.col("label"))
     same = ["_n", "_sum", "_xor"]
-    open_keys = (
+    open_keys = pin(
         labelled.groupBy("key")
         .agg(
             F.min(rest).alias("_low"),
@@ -236,17 +236,19 @@ def _unfinished(members: DataFrame, labels: DataFrame) -> DataFrame:
         .where(F.col("_low") < F.col("_high"))
         .groupBy(*same)
         .agg(F.min("key").alias("key"))
-        .select("key", F.col("_n").alias("n"))
+        .select("key", F.col("_n").alias("n")),
+        "unfinished",
     )
     rows = pin(
         labelled.join(open_keys, "key").select("key", "n", "id", "label"), "open"
     )
-    main = (
+    main = pin(
         rows.groupBy("key", "label")
         .agg(F.count(F.lit(1)).alias("_n"))
         .groupBy("key")
         .agg(F.max(F.struct("_n", "label")).alias("_main"))
-        .select("key", F.col("_main._n").alias("_held"), F.col("_main.label").alias("_label"))
+        .select("key", F.col("_main._n").alias("_held"), F.col("_main.label").alias("_label")),
+        "main",
     )
     return rows.join(main, "key").select(
         "key", "id", "label", "n", (F.col("n") - F.col("_held")).alias("n_left"),
@@ -302,11 +304,14 @@ def near_duplicates(
         "nodes",
     )
     placed = nodes.select("id", F.explode("keys").alias("key"))
-    shared = (
+    # Aggregates are written before they are joined back: a join right above an aggregate of
+    # the same key keeps the rows of a hot bucket together, a join of two tables splits them.
+    shared = pin(
         placed.groupBy("key")
         .agg(F.min("id").alias("least"), F.max("id").alias("_most"))
         .where(F.col("least") < F.col("_most"))
-        .drop("_most")
+        .drop("_most"),
+        "buckets",
     )
     members = pin(placed.join(shared, "key"), "members")
     pairs = (
