@@ -52,6 +52,25 @@ def test_stages_hand_on_what_they_keep(spark, tmp_path):
     assert corpus_pipeline.run(spark, SMALL).count() == len(rows)
 
 
+def test_stages_keep_odd_rows_and_clashing_columns(spark):
+    rows = [(1, None, None, None, 0), (2, "", "en", "a", 0), (None, "some words", "en", "a", 10), (3, "x " * 9000, None, "b", 18000),
+            (4, "plain words here", "de", "b", 16), (4, "plain words here", "de", "b", 16)]
+    clash = ("size", "target", "repeats", "score", "predicted", "component_id", "start", "_doc")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash)
+    docs = spark.createDataFrame([(*r, *[f"own {c}" for c in clash]) for r in rows], schema)
+    for some in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, some, SMALL)
+            assert out.columns == docs.columns, name
+            for r in out.collect():
+                assert all(r[c] == f"own {c}" for c in clash), name
+            if some is not docs:
+                assert out.count() == 0
+    kept = [r["doc_id"] for r in corpus_pipeline.STAGES[1][1](spark, docs, SMALL).collect()]
+    assert sorted(map(str, kept)) == ["1", "2", "3", "4", "None"]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == 5 + 5  # the long text is cut into five
+
+
 def test_nothing_else_imports_the_folder():
     root = Path(entry.__file__).parent
     for path in [*root.glob("proofmark/**/*.py"), *root.glob("tests/*.py"), root / "bench.py"]:
