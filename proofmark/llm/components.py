@@ -16,7 +16,9 @@ from proofmark.workspace import pin
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Connect the larger neighbours of each node to the least of its neighbourhood."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    turned = F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
+    # One shuffle, not a union of two, so that the join below can split it.
+    both = edges.select(F.inline(F.array(F.struct("u", "v"), turned)))
     least = pin(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("w")), "least")
     return (
         both.where(F.col("v") > F.col("u"))
