@@ -8,8 +8,8 @@
 - Host: the share of each language among the host's pages with text, smoothed towards its
   domain, towards its suffix, towards all pages.
 
-All counts are grouped aggregates; what is sent to the tasks has a fixed size (languages
-times buckets).  The tables by value and by host are joined, and Spark chooses how.
+All counts are grouped aggregates; what is sent to the tasks has one row of buckets per
+language of the documents, all of which take part.  The tables by value and by host are joined, and Spark chooses how.
 
 Cases: a null or empty page has no text evidence, a null text_language and is judged by the
 rest; a missing declaration or address is a value
@@ -38,8 +38,8 @@ TEMPER = 0.2
 MOST = 200
 # Weight of the wider level in a smoothed share, in pages.
 STRENGTH = 8.0
-# Languages of a model; the commonest ones are taken.
-LANGUAGES = 64
+# A task writes its counts when it holds this many languages.
+HELD = 64
 
 _HIDDEN = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->")
 _TAG = re.compile(rb"(?s)<[^>]*>|&[a-zA-Z#0-9]{1,10};")
@@ -62,22 +62,34 @@ def visible(page: bytes) -> bytes:
 
 
 def _counted(languages: list[str]):
-    """Batches (text, language) to one row (language, bucket, n) per task and bucket."""
+    """Batches (text, language) to rows (language, bucket, n), added up in the task."""
     places = {x: i for i, x in enumerate(languages)}
 
+    def rows(counts):
+        held = np.array(list(counts), np.int32)
+        table_of = np.stack(list(counts.values()))
+        at, of = np.nonzero(table_of)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(held[at]), pa.array(of.astype(np.int32)), pa.array(table_of[at, of])],
+            ["language", "bucket", "n"],
+        )
+
     def run(batches):
-        counts = np.zeros((len(languages), BUCKETS), np.int64)
+        counts: dict[int, np.ndarray] = {}
         for batch in batches:
             for text, language in zip(batch.column(0), batch.column(1)):
                 if text.is_valid:
-                    counts[places[language.as_py()]] += _trigrams(
-                        text.as_py().encode("utf-8", "surrogatepass")
-                    )
-        at, of = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at.astype(np.int32)), pa.array(of.astype(np.int32)), pa.array(counts[at, of])],
-            ["language", "bucket", "n"],
-        )
+                    found = _trigrams(text.as_py().encode("utf-8", "surrogatepass"))
+                    place = places[language.as_py()]
+                    if place in counts:
+                        counts[place] += found
+                        continue
+                    if len(counts) >= HELD:
+                        yield rows(counts)
+                        counts = {}
+                    counts[place] = found
+        if counts:
+            yield rows(counts)
 
     return run
 
@@ -89,16 +101,12 @@ def train_text_model(
     given = documents.select(
         F.col(text).cast("string").alias("text"), F.col(language).alias("lang")
     ).where(F.col("lang").isNotNull())
-    commonest = (
-        given.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    )
-    languages = sorted(r["lang"] for r in commonest)
+    languages = sorted(r["lang"] for r in given.select("lang").distinct().collect())
     if not languages:
         return [], np.zeros((0, BUCKETS))
-    # At most LANGUAGES * BUCKETS rows.
+    # At most BUCKETS rows a language.
     found = (
-        given.where(F.col("lang").isin(languages))
-        .mapInArrow(_counted(languages), "language int, bucket int, n long")
+        given.mapInArrow(_counted(languages), "language int, bucket int, n long")
         .groupBy("language", "bucket")
         .agg(F.sum("n").alias("n"))
         .toArrow()
@@ -144,16 +152,23 @@ def _said() -> Column:
 
 def _shares(pages: DataFrame, by: list[str], count: int) -> DataFrame:
     """Per key: the number of pages and how many of them each language has (by text)."""
-    return pages.groupBy(*by).agg(
-        F.coalesce(F.sum(F.when(F.col("_text").isNotNull(), F.col("_pages"))), F.lit(0)).alias("_n"),
-        F.array(
-            *[
-                F.coalesce(F.sum(F.when(F.col("_text") == i, F.col("_pages"))), F.lit(0)).cast(
-                    "double"
-                )
-                for i in range(count)
-            ]
-        ).alias("_of"),
+    cells = pages.groupBy(*by, "_text").agg(F.sum("_pages").alias("_pages"))
+    # At most one entry a language is gathered in a row.
+    entry = F.when(F.col("_text").isNotNull(), F.struct("_text", "_pages"))
+    return (
+        cells.groupBy(*by)
+        .agg(
+            F.coalesce(F.sum(F.when(F.col("_text").isNotNull(), F.col("_pages"))), F.lit(0)).alias("_n"),
+            F.map_from_entries(F.collect_list(entry)).alias("_cells"),
+        )
+        .withColumn(
+            "_of",
+            F.transform(
+                F.sequence(F.lit(0), F.lit(count - 1)),
+                lambda i: F.coalesce(F.try_element_at("_cells", i), F.lit(0)).cast("double"),
+            ),
+        )
+        .drop("_cells")
     )
 
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from proofmark.llm import language, quality
@@ -93,3 +94,29 @@ def test_host_shares_equal_counting(spark):
     facts = spark.createDataFrame(rows, "host string, domain string, suffix string, declared string, _text int, _pages int")
     shares = {r["host"]: (r["_n"], list(r["_of"])) for r in language._shares(facts, ["host"], 2).collect()}
     assert shares == {"h1.a.de": (4, [3.0, 1.0]), "h2.a.de": (4, [0.0, 4.0])}
+
+
+def test_more_languages_than_were_ever_counted(spark):
+    """Every language of the documents can be found, however rare."""
+    r = np.random.default_rng(6)
+    count = 150
+    letters = [[chr(0x4E00 + 12 * i + j) for j in range(12)] for i in range(count)]
+    prose = lambda i: "".join(r.choice(letters[i], 200))
+    rows = [(f"l{i:03d}", prose(i)) for i in range(count) for _ in range(1 + (i < 100))]
+    documents = spark.createDataFrame(rows, "lang string, text string")
+    pages = spark.createDataFrame(
+        [(i, f"https://h{i}.s{i}/", f"<p>{prose(i)}") for i in range(count)],
+        "page_id long, url string, html string",
+    )
+    found = language.identify_languages(pages, documents).collect()
+    assert len(found) == count
+    assert all(x["text_language"] == x["language"] == f"l{x['page_id']:03d}" for x in found)
+    batch = pa.RecordBatch.from_arrays([pa.array([x[1] for x in rows]), pa.array([x[0] for x in rows])], ["t", "l"])
+    languages = sorted({x[0] for x in rows})
+    parts = list(language._counted(languages)([batch, batch]))
+    assert len(parts) > 2
+    sums = np.zeros((count, language.BUCKETS), np.int64)
+    for part in parts:
+        np.add.at(sums, (part.column(0).to_numpy(), part.column(1).to_numpy()), part.column(2).to_numpy())
+    for i in (0, 120):
+        assert (sums[i] == 2 * sum(language._trigrams(x[1].encode()) for x in rows if x[0] == languages[i])).all()
