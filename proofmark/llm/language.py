@@ -3,7 +3,8 @@
 - Text: smoothed log-likelihoods of byte trigrams (hashed into a fixed number of buckets) per
   language, counted over all documents whose language is given.  Trigrams overlap, so their
   sum is tempered.
-- Declared markup language and address suffix: how often each value comes with each language,
+- Declared markup language (of the first <html lang> of the whole page outside comments,
+  scripts and styles) and address suffix: how often each value comes with each language,
   counted over all pages by what their text says.
 - Host: the share of each language among the host's pages with text, smoothed towards its
   domain, towards its suffix, towards all pages.
@@ -196,10 +197,15 @@ def identify_languages(
     address = F.coalesce(F.col(url), F.lit(""))
     host = F.lower(F.regexp_extract(address, r"(?s)^.*?://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     labels = F.split("host", r"\.")
+    shown = F.regexp_replace(
+        F.coalesce(F.col(html).cast("string"), F.lit("")),
+        r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->",
+        " ",
+    )
     declared = F.lower(
         F.regexp_extract(
-            F.coalesce(F.col(html), F.lit("")),
-            r"""(?is)^.{0,4096}?<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""",
+            shown,
+            r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""",
             1,
         )
     )

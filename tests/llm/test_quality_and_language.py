@@ -96,6 +96,19 @@ def test_host_shares_equal_counting(spark):
     assert shares == {"h1.a.de": (4, [3.0, 1.0]), "h2.a.de": (4, [0.0, 4.0])}
 
 
+def test_a_declaration_is_found_wherever_it_begins(spark):
+    documents = spark.createDataFrame([("de", "der die das und"), ("fr", "le la les et")], "lang string, text string")
+    pages = {
+        "de": "<!-- " + "licence " * 2000 + "-->\n<!DOCTYPE html>\n<html class='a' lang='DE'><p>und",
+        "fr": " " * 300_000 + "<html lang=fr><p>et",
+        "en": "<script>" + "var x = '<html lang=xx>';" * 400 + "</script><!-- <html lang=yy> --><html lang=\"en-GB\">",
+        "": "<!-- <html lang=de> --><html><p>le la",
+    }
+    df = spark.createDataFrame(list(pages.items()), "expected string, html string").selectExpr("*", "'http://a.b/' AS url")
+    found = language.identify_languages(df, documents).collect()
+    assert {x["expected"]: x["declared"] for x in found} == {k: k for k in pages}
+
+
 def test_more_languages_than_were_ever_counted(spark):
     """Every language of the documents can be found, however rare."""
     r = np.random.default_rng(6)
