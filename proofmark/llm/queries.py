@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from proofmark.llm.context_mixing import op11_context_mixing
 from proofmark.llm.language import op1_page_language
 from proofmark.llm.manifest import OP12_SQL, op12_merkle_manifest
 from proofmark.llm.mixture import OP3_SQL, op3_source_mixture
@@ -28,6 +29,7 @@ QUERIES = {
         op8_best_fit_packing,
         op9_token_counts,
         op10_quality_machine,
+        op11_context_mixing,
         op12_merkle_manifest,
         op13_embedding_whitening,
     )
