@@ -116,7 +116,8 @@ def mix(
         .agg(F.sum("size").alias("_words"))
     )
     placed = place_in_order(alike, ["_source"], ["_order", "_key", "size"], weight="_words")
-    inside = F.col("before") + F.col("_words") / F.lit(2) <= F.col("_rest")
+    # Without a rest nothing is taken again, not even texts without words.
+    inside = (F.col("_rest") > 0) & (F.col("before") + F.col("_words") / F.lit(2) <= F.col("_rest"))
     cuts = (
         join_on_keys(placed, targets.select("_source", "_rest"), ["_source"])
         .where(inside)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmark.llm.components import connected_components
+from proofmark.operators.ordering import place_in_order
 from proofmark.registry.base import table
 from proofmark.workspace import pin
 
@@ -39,7 +40,7 @@ SEED = 20
 BLOCK = 512
 # Shingles hashed at once (stays in the processor cache), distinct words remembered.
 _CHUNK = 1 << 15
-_WORDS = 400_000
+_WORDS = 100_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -349,25 +350,60 @@ def near_duplicates(
 
 
 def keep_one(documents: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The documents without the others of each group; repeats of a kept id go as well.
+    """The documents without the others of each group.
 
-    Rows without id stay.  All columns are returned unchanged.
+    Rows are judged by their own texts: rows that share an id but not the text are documents
+    of their own, in order of a digest.  Of rows equal in id and text one stays, the least by
+    its other columns.  Rows without id stay.  All columns are returned unchanged.
     """
-    judged = pin(near_duplicates(documents, text, key, **options), "judged")
-    removed = judged.where(~F.col("kept")).select(key).distinct()
-    kept = documents.join(removed, key, "left_anti")
-    repeated = (
-        judged.where(F.col(key).isNotNull())
-        .groupBy(key)
+    several = pin(
+        documents.where(F.col(key).isNotNull())
+        .groupBy(F.col(key).alias("_id"))
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > 1)
-        .select(key)
+        .select("_id"),
+        "repeated",
     )
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, key, "left_anti")
-    several = kept.join(repeated, key, "left_semi").dropDuplicates([key])
-    return once.unionByName(several)
+    if several.isEmpty():
+        judged = near_duplicates(documents, text, key, **options)
+        removed = judged.where(~F.col("kept")).select(key)
+        return documents.join(removed, key, "left_anti")
+
+    columns = documents.columns
+    mark = "_"
+    while any(c.startswith(mark) for c in columns):
+        mark += "_"
+    number, digest, times = mark + "number", mark + "digest", mark + "times"
+    of, by = mark + "of", mark + "by"
+    value = F.col(text).cast("string")
+    digested = documents.withColumn(
+        digest, F.when(F.col(key).isNotNull(), F.coalesce(F.sha2(value, 256), F.lit("")))
+    )
+    # Numbers in order of ids, then of digests, stand for the ids.
+    numbers = pin(
+        place_in_order(
+            digested.where(F.col(key).isNotNull())
+            .groupBy(F.col(key).alias(of), F.col(digest).alias(by))
+            .agg(F.count(F.lit(1)).alias(times)),
+            (),
+            [of, by],
+        ).select(of, by, times, F.col("before").cast("long").alias(number)),
+        "numbers",
+    )
+    same = (F.col(key) == F.col(of)) & (F.col(digest) == F.col(by))
+    numbered = pin(digested.join(numbers, same, "left").drop(of, by, digest), "numbered")
+    judged = near_duplicates(numbered, text, number, **options)
+    removed = judged.where(~F.col("kept")).select(number).distinct()
+    kept = numbered.join(removed, number, "left_anti")
+    alone = F.coalesce(F.col(times) == 1, F.lit(True))
+    once = kept.where(alone).select(*columns)
+    again = (
+        kept.where(~alone)
+        .groupBy(number)
+        .agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row"))
+        .select("_row.*")
+    )
+    return once.unionByName(again)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:

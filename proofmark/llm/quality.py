@@ -35,7 +35,7 @@ RATE = 0.01
 SHRINK = 1e-4
 SEED = 3
 # Words remembered by one worker, rows scored at once.
-_WORDS = 400_000
+_WORDS = 100_000
 _ROWS = 256
 
 _MARKS = b".,;:!?|#*%&$@<>{}[]()/\\=+_-~^\"'`"
@@ -192,14 +192,18 @@ def train(
                     ["label", "places", "amounts"],
                 )
 
-    # At most ``sample`` rows of two numbers: small at every size.
-    joined = documents.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text")).join(
-        F.broadcast(chosen), F.col("_id") == F.col("_key")
+    # At most ``sample`` rows of two numbers: small at every size.  Where rows repeat an id,
+    # the text with the least hash counts, and the least label.
+    chosen = chosen.groupBy("_key").agg(F.min("_label").alias("_label"))
+    joined = (
+        documents.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text"))
+        .join(F.broadcast(chosen), F.col("_id") == F.col("_key"))
+        .groupBy("_id", "_label")
+        .agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text"))
     )
     found = (
         joined.select("_text", "_label")
         .mapInArrow(rows, "label int, places array<int>, amounts array<float>")
-        .limit(4 * sample)
         .toArrow()
     )
     x = np.zeros((found.num_rows, Features.width), np.float32)
