@@ -87,3 +87,13 @@ def test_sql_on_the_smallest_table(spark):
     names = [c[0] for c in cursor.description]
     wanted = sorted(tuple(map(plain, r)) for r in cursor.fetchall())
     assert sorted(tuple(map(plain, r)) for r in op3_source_mixture(spark, d).select(*names).collect()) == wanted
+
+
+def test_a_source_at_its_limit_takes_no_empty_text_once_more(spark):
+    from proofmark.llm.mixture import mix
+
+    rows = [(i, "" if i % 2 else "two words", "small") for i in range(20)]
+    rows += [(100 + i, "many words " * 50, "large") for i in range(20)]
+    found = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 50))
+    assert {r["repeats"] for r in found.collect() if r["source"] == "small"} <= {0, 1, 2}
+    assert max(r["repeats"] for r in found.collect()) <= 2

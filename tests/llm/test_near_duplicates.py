@@ -79,3 +79,23 @@ def test_minima_are_universal_hash_minima():
     sets = [np.array([3, 9, 27], np.uint64), np.array([5], np.uint64)]
     a, b = np.array([7], np.uint64), np.array([1], np.uint64)
     assert neardup.minima(sets, a, b).tolist() == [[22], [36]]
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    from proofmark.llm.neardup import keep_one
+
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [
+        (1, "alpha beta gamma delta epsilon zeta", "a"), (1, "totally different text of its own", "b"),
+        (2, words, "c"), (2, words, "d"), (2, words, "d"), (3, words + " more", "e"),
+        (None, words, "f"), (4, None, "g"), (4, "", "h"), (1, words + " again", "i"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _rows string")
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    found = sorted((str(r[0]), r[1] or "", r[2]) for r in kept.collect())
+    assert [x for x in found if x[0] == "1"] == sorted(("1", t, n) for i, t, n in rows if i == 1)
+    assert [x[0] for x in found].count("2") == 0 and [x[0] for x in found].count("3") == 0
+    assert [x[0] for x in found].count("None") == 1 and [x[0] for x in found].count("4") in (1, 2)
+    again = keep_one(docs.repartition(5))
+    assert sorted(map(str, again.collect())) == sorted(map(str, kept.collect()))
