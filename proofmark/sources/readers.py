@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proofmark.functions.columns import col
-from proofmark.workspace import pin
+from proofmark.sources.csv_records import csv_records, unmarked
+from proofmark.workspace import pin, scratch_path
 
 # Whole-text patterns of the three inferred types.
 _DATE = r"^\d{4}-\d{2}-\d{2}([T ].*)?\z"
@@ -24,20 +26,48 @@ def scan_csv(
 ) -> DataFrame:
     """CSV with header, commas, doubled quotes, lenient rows, empty fields as NULL.
 
-    Without ``schema`` the types come from the whole file, which costs one extra pass;
-    give a schema for large inputs.  ``multi_line`` allows line breaks inside quotes, and
-    then a file is read by one task; turn it off for large files that have none, so that
-    they are split.
+    ``multi_line`` allows line breaks inside quotes.  Files are read in splits all the same:
+    ``csv_records`` finds out which lines start inside quotes, and its records, one a line,
+    are written once and read by Spark's own parser.  Without ``schema`` the types come from
+    all records, which costs one extra pass.  Lines end with LF or CR LF.
     """
     reader = (
         spark.read.option("header", True)
         .option("mode", "PERMISSIVE")
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", multi_line)
     )
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    return reader.csv(path)
+    if not multi_line:
+        reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
+        return reader.csv(path)
+    names = reader.option("multiLine", True).csv(path).columns
+    header = ",".join('"' + n.replace('"', '""') + '"' for n in names)
+    lines = scratch_path(spark, "csv")
+    csv_records(spark, path).select("record").mapInArrow(_headed(header), "value string").write.text(lines)
+    reader = reader.option("multiLine", False)
+    if schema:
+        # Texts are unmarked, the other types never hold a line break.
+        kinds = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        found = reader.schema(kinds).csv(lines)
+    else:
+        found = reader.option("inferSchema", True).csv(lines).toDF(*names)
+    return found.select(
+        *[
+            (unmarked(col(f.name)) if isinstance(f.dataType, T.StringType) else col(f.name)).alias(f.name)
+            for f in found.schema
+        ]
+    )
+
+
+def _headed(header: str):
+    """Every written part begins with the header."""
+
+    def run(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([header])], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
+
+    return run
 
 
 def scan_parquet(spark: SparkSession, *paths: str) -> DataFrame:
