@@ -10,7 +10,7 @@ from __future__ import annotations
 from math import asin, exp, log, pi, sqrt
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofmark.functions.tails import normal_upper
@@ -58,52 +58,77 @@ def _horner(coefficients, x: Column) -> Column:
     return value
 
 
-def normal_quantile(p: Column) -> Column:
-    """The normal quantile of a probability strictly between 0 and 1."""
-    q = p - 0.5
-    inner = F.lit(0.180625) - q * q
-    r = F.sqrt(-F.log(F.least(p, 1.0 - p)))
-    near = _horner(MIDDLE[0], r - 1.6) / _horner(MIDDLE[1], r - 1.6)
-    far = _horner(TAIL[0], r - 5.0) / _horner(TAIL[1], r - 5.0)
-    outer = F.when(r <= 5.0, near).otherwise(far) * F.signum(q)
-    centre = q * _horner(CENTRE[0], inner) / _horner(CENTRE[1], inner)
-    return F.when(F.abs(q) <= 0.425, centre).otherwise(outer)
+def with_normal_score(df: DataFrame, place: Column, n: Column, name: str) -> DataFrame:
+    """Add Blom's score of the value at ``place`` (from 1) of ``n``.
 
-
-def normal_score(place: Column, n: Column) -> Column:
-    """Blom's score of the value at ``place`` (from 1) of ``n``."""
-    return normal_quantile((place.cast("double") - 0.375) / (n.cast("double") + 0.25))
+    The steps are columns of their own: put into one expression, each polynomial would repeat
+    all that its argument is made of, and the generated code would be too long to compile.
+    """
+    p, q, r, near = (f"{name}_{step}" for step in ("p", "q", "r", "near"))
+    return (
+        df.withColumn(p, (place.cast("double") - 0.375) / (n.cast("double") + 0.25))
+        .withColumns({q: F.col(p) - 0.5, r: F.sqrt(-F.log(F.least(F.col(p), 1.0 - F.col(p))))})
+        .withColumn(
+            near,
+            F.when(F.abs(q) <= 0.425, 0.180625 - F.col(q) * F.col(q))
+            .when(F.col(r) <= 5.0, F.col(r) - 1.6)
+            .otherwise(F.col(r) - 5.0),
+        )
+        .withColumn(
+            name,
+            F.when(
+                F.abs(q) <= 0.425,
+                F.col(q) * _horner(CENTRE[0], F.col(near)) / _horner(CENTRE[1], F.col(near)),
+            )
+            .when(
+                F.col(r) <= 5.0,
+                F.signum(q) * _horner(MIDDLE[0], F.col(near)) / _horner(MIDDLE[1], F.col(near)),
+            )
+            .otherwise(F.signum(q) * _horner(TAIL[0], F.col(near)) / _horner(TAIL[1], F.col(near))),
+        )
+        .drop(p, q, r, near)
+    )
 
 
-def shapiro_w(n: str, products: str, squares: str, spread: str, ends: list[str]) -> Column:
-    """W from sums over one group.
+def with_shapiro_w(
+    df: DataFrame, n: str, products: str, squares: str, spread: str, ends: list[str]
+) -> DataFrame:
+    """Add ``shapiro_w`` from sums over one group a row.
 
     ``products``: scores times values; ``squares``: squared scores; ``spread``: squared
     deviations; ``ends``: the first, second, last but one and last value.
     """
     count = F.col(n).cast("double")
-    size = 1.0 / F.sqrt(count)
-    root = F.sqrt(squares)
-    last, next_ = normal_score(count, count), normal_score(count - 1, count)
-    a1 = last / root + _horner(FIRST_WEIGHT, size)
-    a2 = next_ / root + _horner(SECOND_WEIGHT, size)
-    outer, inner = F.col(ends[3]) - F.col(ends[0]), F.col(ends[2]) - F.col(ends[1])
-
-    def total(leading: list[tuple[Column, Column, Column]]) -> Column:
+    scored = with_normal_score(df, count, count, "_s1")
+    scored = with_normal_score(scored, count - 1, count, "_s2")
+    scored = scored.withColumns({"_size": 1.0 / F.sqrt(count), "_root": F.sqrt(squares)}).withColumns(
+        {
+            "_a1": F.col("_s1") / F.col("_root") + _horner(FIRST_WEIGHT, F.col("_size")),
+            "_a2": F.col("_s2") / F.col("_root") + _horner(SECOND_WEIGHT, F.col("_size")),
+            "_outer": F.col(ends[3]) - F.col(ends[0]),
+            "_inner": F.col(ends[2]) - F.col(ends[1]),
+        }
+    )
+
+    def total(leading: list[tuple[str, str, str]]) -> Column:
         """Leading weights as given, the scores of the rest scaled to unit length."""
-        taken = sum((2.0 * s * s for _, s, _ in leading), F.lit(0.0))
-        held = sum((2.0 * a * a for a, _, _ in leading), F.lit(0.0))
-        rest = F.col(products) - sum((s * gap for _, s, gap in leading), F.lit(0.0))
+        of = lambda name: F.col(name)
+        taken = sum((2.0 * of(s) * of(s) for _, s, _ in leading), F.lit(0.0))
+        held = sum((2.0 * of(a) * of(a) for a, _, _ in leading), F.lit(0.0))
+        rest = F.col(products) - sum((of(s) * of(gap) for _, s, gap in leading), F.lit(0.0))
         scale = F.sqrt((F.col(squares) - taken) / (1.0 - held))
-        return sum((a * gap for a, _, gap in leading), F.lit(0.0)) + F.try_divide(rest, scale)
+        return sum((of(a) * of(gap) for a, _, gap in leading), F.lit(0.0)) + F.try_divide(rest, scale)
 
     summed = (
-        F.when(count == 3, F.lit(sqrt(0.5)) * outer)
-        .when(count <= 5, total([(a1, last, outer)]))
-        .otherwise(total([(a1, last, outer), (a2, next_, inner)]))
+        F.when(count == 3, F.lit(sqrt(0.5)) * F.col("_outer"))
+        .when(count <= 5, total([("_a1", "_s1", "_outer")]))
+        .otherwise(total([("_a1", "_s1", "_outer"), ("_a2", "_s2", "_inner")]))
+    )
+    scored = scored.withColumn("_summed", summed)
+    w = F.least(F.lit(1.0), F.try_divide(F.col("_summed") * F.col("_summed"), F.col(spread)))
+    return scored.withColumn("shapiro_w", F.when(F.col(spread) == 0, F.lit(1.0)).otherwise(w)).drop(
+        "_s1", "_s2", "_size", "_root", "_a1", "_a2", "_outer", "_inner", "_summed"
     )
-    w = F.least(F.lit(1.0), F.try_divide(summed * summed, F.col(spread)))
-    return F.when(F.col(spread) == 0, F.lit(1.0)).otherwise(w)
 
 
 def _poly(coefficients, x: float) -> float:
