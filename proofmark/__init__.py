@@ -9,6 +9,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 from proofmark.operators.profile import profile  # noqa: E402
+from proofmark.operators.selection import exact_numbers  # noqa: E402
 from proofmark.operators.sql_guard import guarded_sql  # noqa: E402
 from proofmark.operators.statistics import (  # noqa: E402
     chi_square,
@@ -25,6 +26,7 @@ __all__ = [
     "chi_square",
     "compare_groups",
     "correlation",
+    "exact_numbers",
     "guarded_sql",
     "profile",
     "run_statistics",

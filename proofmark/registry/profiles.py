@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofmark.operators import profile as p
+from proofmark.operators.selection import exact_numbers
 from proofmark.plans.wording import PII_NAME_PARTS, TARGET_NAME_PARTS, WARNINGS
 from proofmark.registry.base import (
     LABELLED_SQL,
@@ -146,6 +147,41 @@ def profile_numeric(spark, d):
     return found.select("column", "min", "max", *[fixed(c, 4).alias(c) for c in ("mean", "stddev", "median")])
 
 
+# Numbers of the orders that no double can hold, beside some that it can.
+_EXACT = {
+    "o_orderkey": ("o_orderkey", "o_orderkey"),
+    "o_totalprice": ("o_totalprice", "o_totalprice"),
+    "beyond_doubles": ("o_orderkey + 9007199254740993",) * 2,
+    "signed": ("IF(o_custkey % 2 = 0, -1, 1) * (o_orderkey + 9007199254740993)",
+               "CASE WHEN o_custkey % 2 = 0 THEN -1 ELSE 1 END * (o_orderkey + 9007199254740993)"),
+    "many_digits": (
+        "CAST(CAST(o_custkey AS DECIMAL(17,0)) * CAST('100000000000000000000' AS DECIMAL(21,0)) "
+        "+ o_orderkey AS DECIMAL(38,0))",
+        "CAST(o_custkey AS HUGEINT) * CAST(100000000000000000000 AS HUGEINT) + o_orderkey",
+    ),
+}
+
+
+@query(
+    "profile_numeric_exact",
+    union_sql(
+        [
+            f"SELECT '{c}' AS \"column\", COUNT(*) AS n, CAST(MIN(v) AS VARCHAR) AS min, CAST(MAX(v) AS VARCHAR) AS max, "
+            "CAST(MAX(v) FILTER (r = (n - 1) // 2 + 1) AS VARCHAR) AS lower_median, "
+            "CAST(MAX(v) FILTER (r = n // 2 + 1) AS VARCHAR) AS upper_median FROM "
+            f"(SELECT v, ROW_NUMBER() OVER (ORDER BY v) AS r, COUNT(*) OVER () AS n FROM (SELECT {sql} AS v FROM orders))"
+            for c, (_, sql) in _EXACT.items()
+        ]
+    ),
+)
+def profile_numeric_exact(spark, d):
+    """Every digit of minima, maxima and both middle values."""
+    orders = table(spark, d, "orders")
+    return exact_numbers(
+        orders.select(*[F.expr(e).alias(c) for c, (e, _) in _EXACT.items()])
+    ).drop("median")
+
+
 @query(
     "profile_date_range",
     "SELECT 'o_orderdate' AS \"column\", CAST(MIN(o_orderdate) AS VARCHAR) AS \"start\", "
