@@ -19,13 +19,12 @@ value has n = 0 and NULLs.
 from __future__ import annotations
 
 import struct
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from decimal import Context, Decimal
-from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,8 +57,8 @@ class _Scale:
         bits = number if number >= 0 else _LOWEST - number - 1
         return repr(struct.unpack(">d", struct.pack(">q", bits))[0])
 
-    def literal(self, number: int) -> Column:
-        return F.lit(self.text(number)).cast(self.type)
+    def literal(self, number: int) -> str:
+        return f"CAST('{self.text(number)}' AS {self.type})"
 
     def middle(self, low: int, high: int) -> str:
         """The mean of two values; exact unless binary."""
@@ -73,32 +72,33 @@ class _Scale:
 
 @dataclass
 class _Target:
-    """The row of ``rank`` (from 0) among the ``rows`` rows between two numbers."""
+    """The row of ``rank`` (from 0) among the ``rows`` rows of a column between two numbers."""
 
-    value: Column
+    value: str
     scale: _Scale
     rank: int
     rows: int
     low: int
     high: int
 
-    def inside(self) -> Column:
-        return self.value.between(self.scale.literal(self.low), self.scale.literal(self.high))
+    def inside(self) -> str:
+        low, high = self.scale.literal(self.low), self.scale.literal(self.high)
+        return f"{self.value} BETWEEN {low} AND {high}"
 
     def edges(self) -> list[int]:
         """The first number of every part."""
         width = self.high - self.low + 1
         return sorted({self.low + width * i // BUCKETS for i in range(BUCKETS)})
 
-    def part(self) -> Column:
+    def part(self) -> str:
         edges = self.edges()
 
-        def tree(first: int, last: int) -> Column:
+        def tree(first: int, last: int) -> str:
             if first == last:
-                return F.lit(first)
+                return str(first)
             middle = (first + last + 1) // 2
-            above = self.value >= self.scale.literal(edges[middle])
-            return F.when(above, tree(middle, last)).otherwise(tree(first, middle - 1))
+            above = f"{self.value} >= {self.scale.literal(edges[middle])}"
+            return f"IF({above}, {tree(middle, last)}, {tree(first, middle - 1)})"
 
         return tree(0, len(edges) - 1)
 
@@ -113,32 +113,33 @@ class _Target:
         raise RuntimeError("the table changed between two scans")
 
 
-def _counted(df: DataFrame, targets: Sequence[_Target], keys: Sequence[Column]) -> list[dict]:
-    """Rows per key of each target, in one scan."""
-    inside = [t.inside() for t in targets]
+def _counted(df: DataFrame, targets: Sequence[_Target], key: Callable[[_Target], str]) -> list[dict]:
+    """Rows per key of each target, in one scan; targets with one interval are counted once."""
+    places = list(dict.fromkeys(t.inside() for t in targets))
+    keys = {t.inside(): key(t) for t in targets}
     items = [
-        F.when(near, F.struct(F.lit(i).alias("target"), key.alias("key")))
-        for i, (near, key) in enumerate(zip(inside, keys))
+        F.when(F.expr(near), F.expr(f"named_struct('place', {i}, 'key', {keys[near]})"))
+        for i, near in enumerate(places)
     ]
     found = (
-        df.where(reduce(lambda a, b: a | b, inside))
+        df.where(" OR ".join(places))
         .select(F.inline(F.array_compact(F.array(*items))))
-        .groupBy("target", "key")
+        .groupBy("place", "key")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    counts: list[dict] = [{} for _ in targets]
-    for target, key, n in found.collect():
-        counts[target][key] = n
-    return counts
+    counts: list[dict] = [{} for _ in places]
+    for place, label, n in found.collect():
+        counts[place][label] = n
+    return [counts[places.index(t.inside())] for t in targets]
 
 
 def select_ranks(df: DataFrame, targets: Sequence[_Target]) -> None:
     """Narrow every target to its value."""
     while wide := [t for t in targets if t.low < t.high and t.rows > FEW]:
-        for target, counts in zip(wide, _counted(df, wide, [t.part() for t in wide])):
+        for target, counts in zip(wide, _counted(df, wide, _Target.part)):
             target.narrow(counts)
     if few := [t for t in targets if t.low < t.high]:
-        values = _counted(df, few, [t.value.cast("string") for t in few])
+        values = _counted(df, few, lambda t: f"CAST({t.value} AS string)")
         for target, counts in zip(few, values):
             numbers: dict[int, int] = {}
             for text, n in counts.items():
@@ -157,7 +158,9 @@ def exact_numbers(df: DataFrame) -> DataFrame:
     df = columnar(df)
     fields = [f for f in df.schema if isinstance(f.dataType, T.NumericType)]
     scales = [_Scale(f.dataType) for f in fields]
-    values = [col(f.name).cast(s.type) for f, s in zip(fields, scales)]
+    names = [f"_v{i}" for i in range(len(fields))]
+    values = [F.col(c) for c in names]
+    df = df.select(*[col(f.name).cast(s.type).alias(c) for f, s, c in zip(fields, scales, names)])
     rows = []
     if fields:
         first = df.agg(
@@ -166,7 +169,7 @@ def exact_numbers(df: DataFrame) -> DataFrame:
             *[F.max(v).cast("string").alias(f"b{i}") for i, v in enumerate(values)],
         ).first()
         targets: dict[tuple[int, int], _Target] = {}
-        for i, (value, scale) in enumerate(zip(values, scales)):
+        for i, (value, scale) in enumerate(zip(names, scales)):
             n = first[f"n{i}"]
             for rank in {(n - 1) // 2, n // 2} if n else ():
                 low, high = scale.number(first[f"a{i}"]), scale.number(first[f"b{i}"])
@@ -182,9 +185,9 @@ def exact_numbers(df: DataFrame) -> DataFrame:
             middle = scale.middle(below, above)
             rows.append((field.name, n, *ends, scale.text(below), scale.text(above), middle))
     kinds = {"column": pa.string(), "n": pa.int64()}
-    names = [*kinds, "min", "max", "lower_median", "upper_median", "median"]
-    lists = list(zip(*rows)) or [()] * len(names)
+    heads = [*kinds, "min", "max", "lower_median", "upper_median", "median"]
+    lists = list(zip(*rows)) or [()] * len(heads)
     return local_table(
         df.sparkSession,
-        {name: (kinds.get(name, pa.string()), list(v)) for name, v in zip(names, lists)},
+        {name: (kinds.get(name, pa.string()), list(v)) for name, v in zip(heads, lists)},
     )
