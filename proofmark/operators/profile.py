@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proofmark.functions.columns import col
+from proofmark.operators.frequent import frequent_values
 from proofmark.operators.ordering import exact_medians, median_brackets
 from proofmark.plans.wording import PII_NAME_PARTS, TARGET_NAME_PARTS, WARNINGS
 from proofmark.workspace import columnar, local_table, settle, settle_rows
@@ -156,6 +157,13 @@ def _value_branches(df: DataFrame, columns: Sequence[str] | None) -> list[DataFr
     ]
 
 
+def frequent_branches(df: DataFrame, fields: Sequence[T.StructField], size: int) -> list[DataFrame]:
+    """Like the branches of ``value_counts``, but only with values that can be among the
+    ``size`` most frequent of their column."""
+    texts = {f.name: comparable(f).cast("string") for f in fields}
+    return list(frequent_values(df, texts, size).values())
+
+
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, value, n) for every distinct non-null value.
 
@@ -205,17 +213,24 @@ def samples(
     """The most frequent values per column, as text: (column, value, n, position).
 
     Ties go by the first 64 characters of the value, then by its digest.  Longer texts are
-    picked by that key and fetched whole in a second scan.
+    picked by that key and fetched whole in a second scan.  Exact; values are shuffled only
+    where ``frequent_branches`` cannot rule them out.
     """
     df = columnar(df)
-    return _whole_samples(df, *settle_rows(_ranked_values(df, columns, size), "samples"))
+    wanted = [f for f in df.schema if f.name in set(columns or df.columns)]
+    ranked = _numbered(frequent_branches(df, wanted, size), size)
+    return _whole_samples(df, *settle_rows(ranked, "samples"))
 
 
 def _ranked_values(df: DataFrame, columns: Sequence[str] | None, size: int) -> DataFrame:
+    return _numbered(_value_branches(df, columns), size)
+
+
+def _numbered(branches: Sequence[DataFrame], size: int) -> DataFrame:
     """Top ``size`` per column branch: a bounded heap per task, no sort of all values.
     Only the winners are numbered."""
     order = [F.desc("n"), F.asc("value")]
-    best = [branch.orderBy(*order).limit(size) for branch in _value_branches(df, columns)]
+    best = [branch.orderBy(*order).limit(size) for branch in branches]
     ranking = Window.partitionBy("column").orderBy(*order)
     return reduce(DataFrame.unionAll, best).withColumn("position", F.row_number().over(ranking))
 
@@ -398,7 +413,12 @@ def profile(df: DataFrame, exact_distinct: bool = True, sample_size: int = SAMPL
     )
     gaps = _missing_long(wide, df.columns, 0.0)
     # Samples and distinct counts in one job: both read the same shuffled value counts.
-    ranked = _ranked_values(df, None, sample_size)
+    # With sketched distinct counts nothing else shuffles the values, so neither do samples.
+    ranked = (
+        _ranked_values(df, None, sample_size)
+        if exact_distinct
+        else _numbered(frequent_branches(df, list(df.schema), sample_size), sample_size)
+    )
     counted = distinct(df) if exact_distinct else distinct_approx(df)
     values, rows = settle_rows(ranked.unionByName(counted, allowMissingColumns=True), "values")
     counted = values.where(F.col("distinct_count").isNotNull()).select("column", "distinct_count")
