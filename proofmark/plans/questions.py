@@ -32,6 +32,8 @@ from proofmark.plans.wording import (
 from proofmark.workspace import local_table, pin
 
 MIN_FILTER_LENGTH = 3
+# Bits of the filter of question words: 4 MB, whatever the number of questions.
+FILTER_BITS = 1 << 25
 
 
 def normalize_text(text: Column) -> Column:
@@ -189,21 +191,61 @@ def resolve_dimension() -> Column:
     return _first(named)["column"]
 
 
+def _bit(dataset_id: Column, head: Column) -> Column:
+    """The place of a text in the filter, from 1."""
+    return F.pmod(F.xxhash64(dataset_id, head), F.lit(FILTER_BITS)) + 1
+
+
+def question_bits(asked: DataFrame) -> DataFrame:
+    """(bucket, bits): a Bloom filter of all words and pairs of neighbouring words of the
+    questions, in at most FILTER_BITS / 32768 rows of 4 KB."""
+    pairs = F.transform("_words", lambda _, i: F.array_join(F.slice("_words", i + 1, 2), " "))
+    heads = F.explode(F.array_distinct(F.concat("_words", pairs))).alias("_head")
+    place = _bit(F.col("dataset_id"), F.col("_head"))
+    return (
+        asked.select("dataset_id", heads)
+        .groupBy(F.bitmap_bucket_number(place).alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    )
+
+
+def nameable(values: DataFrame, asked: DataFrame) -> DataFrame:
+    """The values that a question may name: not longer than the longest question, and the
+    first two words (or the only one) occur in a question of their dataset.
+
+    The limit on the length is applied below the shuffle of distinct values, so long texts
+    are dropped where they are read.  The filter may keep a value too many, never one too few.
+    """
+    longest = asked.agg(F.max(F.length("_lowered"))).first()[0] or 0
+    head = F.array_join(F.slice(F.split("words", " "), 1, 2), " ")
+    place = _bit(F.col("dataset_id"), head)
+    short = values.where(F.length(F.lower("value")) <= longest).withColumns(
+        {"_bucket": F.bitmap_bucket_number(place), "_position": F.bitmap_bit_position(place)}
+    )
+    byte = F.substring("bits", (F.col("_position") / 8).cast("int") + 1, F.lit(1))
+    hit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (F.col("_position") % 8).cast("int"))
+    # Bounded by FILTER_BITS, hence small by construction.
+    bits = F.broadcast(question_bits(asked))
+    found = short.join(bits, (F.col("_bucket") == F.col("bucket")) & (hit == 1), "left_semi")
+    return found.drop("_bucket", "_position")
+
+
 def value_filters(questions: DataFrame, values: DataFrame) -> DataFrame:
     """(dataset_id, text, filters): per column the value that a question names in full.
 
-    Equal questions are resolved once.  Their word sequences, of the widths that occur among
-    the values, are joined to the words of all values; the pattern then checks the exact
-    spelling.  Of several values the longest counts, then the first in order.
+    Equal questions are resolved once.  Values that no question can name are dropped before
+    anything is written (``nameable``).  The word sequences of the questions, of the widths
+    that occur among the values left, are joined to the words of these; the pattern then checks
+    the exact spelling.  Of several values the longest counts, then the first in order.
     """
-    values = pin(values, "values")
-    widths = sorted(r[0] for r in values.select("width").distinct().collect())
     asked = (
         questions.select("dataset_id", "text")
         .distinct()
         .withColumn("_lowered", F.lower("text"))
         .withColumn("_words", _words(F.col("_lowered")))
     )
+    values = pin(nameable(values, asked), "values")
+    widths = sorted(r[0] for r in values.select("width").distinct().collect())
     last = F.size("_words") - F.col("width")
     sequences = F.transform(
         F.sequence(F.lit(0), last),

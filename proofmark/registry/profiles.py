@@ -125,6 +125,27 @@ def profile_samples(spark, d):
     return p.samples(table(spark, d, "customer"))
 
 
+_LINE_VALUES = ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate")
+
+
+@query(
+    "frequent_values",
+    "WITH v AS ("
+    + union_sql(
+        [
+            f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, COUNT(*) AS n "
+            f"FROM lineitem WHERE {c} IS NOT NULL GROUP BY 2"
+            for c in _LINE_VALUES
+        ]
+    )
+    + "), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY \"column\" ORDER BY n DESC, value) AS position FROM v) "
+    "SELECT * FROM r WHERE position <= 5",
+)
+def frequent_values(spark, d):
+    """Found by summaries and bucket bounds: flat, falling and hot columns of the line items."""
+    return p.samples(table(spark, d, "lineitem").select(*_LINE_VALUES))
+
+
 _LINE_NUMBERS = (
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
     "l_extendedprice", "l_discount", "l_tax",

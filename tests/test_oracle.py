@@ -21,7 +21,9 @@ def test_query(spark, connection, name):
     frame = entry_module.queries()[name](spark, DIRECTORY)
     sql = entry_module.oracle_sql().get(name)
     if sql is None:
-        assert frame.count() > 0
+        # All columns are computed, which a count would prune away.
+        frame.write.format("noop").mode("overwrite").save()
+        assert not frame.isEmpty()
     else:
         assert oracle.compare(frame, connection, sql) == ""
 

@@ -2,8 +2,11 @@ import datetime
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from proofmark.operators.report import answer_text, chart_of
 from proofmark.plans.answer import answer_question, execute_plan, plan_question, reproducible
+from proofmark.plans import questions as resolver
 from proofmark.plans.questions import question_catalog
 from proofmark.workspace import settle
 
@@ -147,3 +150,34 @@ def test_trace_of_an_answer(table, catalog, tmp_path):
 VALUES = (
     "dataset_id string, position int, column string, value string, pattern string, words string, width int"
 )
+
+
+def test_values_no_question_can_name_are_dropped(spark):
+    """Whole documents and values of other words go; every named value stays, in any spelling."""
+    values = ["Bandung Kota", "kota tua", "word " * 5_000, "Zürich", "n/a-x", "absent", "Bandung"]
+    df = spark.createDataFrame([(v,) for v in values * 3], "city string")
+    questions = spark.createDataFrame(
+        [("d", "Total di bandung kota?"), ("d", "Total ZÜRICH dan N/A-X."), ("d", None), ("e", "absent")],
+        "dataset_id string, text string",
+    )
+    index = resolver.value_index("d", df)
+    asked = questions.withColumns({"_lowered": F.lower("text")}).withColumn(
+        "_words", resolver._words(F.col("_lowered"))
+    )
+    left = {r["value"] for r in resolver.nameable(index, asked).collect()}
+    assert left == {"Bandung Kota", "Zürich", "n/a-x", "Bandung"}
+    found = {
+        r["text"]: [(f["column"], f["value"]) for f in r["filters"]]
+        for r in resolver.value_filters(questions, index).collect()
+    }
+    assert found == {
+        "Total di bandung kota?": [("city", "Bandung Kota")],
+        "Total ZÜRICH dan N/A-X.": [("city", "Zürich")],
+    }
+
+
+def test_no_questions_and_no_values(spark):
+    none = spark.createDataFrame([], "dataset_id string, text string")
+    index = resolver.value_index("d", spark.createDataFrame([("abc",)], "city string"))
+    assert resolver.value_filters(none, index).collect() == []
+    assert resolver.with_filters(none, index).collect() == []
