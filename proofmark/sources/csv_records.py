@@ -2,14 +2,17 @@
 
 A file is read as physical lines, in splits.  Whether a line starts inside quotes depends on
 all lines before it, but a line only does one of three things to that state: keep it, turn it
-around, or set it.  These compose, so the state is a prefix scan: inside each split by window
-functions, over the splits by one row each.  Lines that start inside quotes then belong to the
-record before them; a record that crosses the border of a split is put together in a second
-step, which only sees such records.
+around, or set it.  These compose, so the state is a prefix scan: one scan finds what each split
+does, one row each, and a second one goes through the lines of a split with the state at its
+start.  Lines that start inside quotes belong to the record before them; a record that crosses
+the border of a split is put together in a last step, which only sees records at borders.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,100 +47,163 @@ def _after(line: Column, inside: bool) -> Column:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, at, line): physical lines with their place."""
+    """(file, block, out, in, line): physical lines in their order, and what each does to the state."""
+    line = F.col("value")
     return (
         spark.read.option("lineSep", "\n")
         .text(path)
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("at"),
-            F.col("value").alias("line"),
+            _after(line, False).alias("out"),
+            _after(line, True).alias("in"),
+            line.alias("line"),
         )
     )
 
 
+def _stretches(batch: pa.RecordBatch):
+    """(file, block, slice) of neighbouring lines of one split."""
+    files, blocks = batch.column("file"), batch.column("block")
+    new = pc.or_(pc.not_equal(files[1:], files[:-1]), pc.not_equal(blocks[1:], blocks[:-1]))
+    starts = [0, *(np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1).tolist()]
+    for start, end in zip(starts, [*starts[1:], len(batch)]):
+        yield files[start].as_py(), blocks[start].as_py(), batch.slice(start, end - start)
+
+
+def _flags(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+_SPLIT = "file string, block long, after_out boolean, after_in boolean"
+
+
+def _splits(batches):
+    """Lines (file, block, out, in) to one row a split: the state behind it, by that before it."""
+    held = None
+
+    def row():
+        return pa.RecordBatch.from_pylist(
+            [dict(zip(("file", "block", "after_out", "after_in"), held))],
+            pa.schema([("file", pa.string()), ("block", pa.int64()), ("after_out", pa.bool_()), ("after_in", pa.bool_())]),
+        )
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        for file, block, part in _stretches(batch):
+            if held is None or held[:2] != (file, block):
+                if held is not None:
+                    yield row()
+                held = (file, block, False, True)
+            out, into = _flags(part, "out", "in")
+            held = (file, block, *(bool(_states(out, into, x)[-1]) for x in held[2:]))
+    if held is not None:
+        yield row()
+
+
+def _states(out: np.ndarray, into: np.ndarray, state: bool) -> np.ndarray:
+    """Whether each line starts inside quotes, and at last the state behind them all.
+
+    A line that ends alike either way sets the state, one that swaps it turns it around.
+    """
+    turns = np.cumsum(np.r_[0, out & ~into]) & 1
+    sets = np.r_[True, out == into]
+    last = np.maximum.accumulate(np.where(sets, np.arange(len(sets)), 0))
+    value = np.r_[state, out] ^ turns.astype(bool)
+    return value[last] ^ turns.astype(bool)
+
+
+_RECORD = "file string, block long, number long, edge boolean, record string"
+
+
+def _records(batches):
+    """Lines (file, block, out, in, start, line) to (file, block, number, edge, record).
+
+    Number 0 is what goes before the first record of a split, the end of an earlier one.  It and
+    the last record of a split are marked as edges: they may belong together.
+    """
+    held: tuple | None = None  # file, block, state, number of the open record, its lines
+
+    def batch_of(rows):
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+        columns = zip(*rows) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in _RECORD.split(", ")]
+        )
+
+    def edge():
+        return (held[0], held[1], held[3], True, "\n".join(held[4]))
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = []
+        for file, block, part in _stretches(batch):
+            if held is None or held[:2] != (file, block):
+                if held is not None and held[4]:
+                    rows.append(edge())
+                held = (file, block, part.column("start")[0].as_py(), 0, [])
+            states = _states(*_flags(part, "out", "in"), held[2])
+            lines = part.column("line").to_pylist()
+            starts = np.flatnonzero(~states[:-1]).tolist()
+            open_lines, number = held[4], held[3]
+            open_lines += lines[: starts[0] if starts else len(lines)]
+            for start, end in zip(starts, [*starts[1:], len(lines)]):
+                # Only the lines before the first record, if any, have the number 0.
+                if number:
+                    rows.append((file, block, number, False, "\n".join(open_lines)))
+                elif open_lines:
+                    rows.append((file, block, 0, True, "\n".join(open_lines)))
+                open_lines, number = lines[start:end], number + 1
+            held = (file, block, bool(states[-1]), number, open_lines)
+        yield batch_of(rows)
+    if held is not None and held[4]:
+        yield batch_of([edge()])
+
+
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """(file, block, number, record): the records of all files but the first one of each, the
     header; line breaks inside a record are marked (see ``unmarked``).  Blank records are left out.
+
+    Two scans, both without a shuffle of lines; a task holds a batch of them and one record.
     """
-    lines = _lines(spark, path).withColumns(
-        {"_out": _after(F.col("line"), False), "_in": _after(F.col("line"), True)}
-    )
-    in_block = Window.partitionBy("file", "block").orderBy("at")
-    before = in_block.rowsBetween(Window.unboundedPreceding, -1)
-    # A line that ends alike either way sets the state, one that swaps it turns it around.
-    turns = F.when(F.col("_out") & ~F.col("_in"), F.lit(1)).otherwise(F.lit(0))
-    state = lines.withColumn("_turns", F.sum(turns).over(in_block) % 2).withColumn(
-        "_set",
-        F.when(
-            F.col("_out") == F.col("_in"), F.col("_out").cast("int").bitwiseXOR(F.col("_turns").cast("int"))
-        ),
+    lines = _lines(spark, path)
+    splits = pin(lines.drop("line").mapInArrow(_splits, _SPLIT), "csv-splits")
+    # One row a split, in order: a split that sets the state, and how often it was turned since.
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    turns = F.when(F.col("after_out") & ~F.col("after_in"), F.lit(1)).otherwise(F.lit(0))
+    turned = F.coalesce(F.sum(turns).over(earlier), F.lit(0)) % 2
+    fixed = F.when(
+        F.col("after_out") == F.col("after_in"), F.col("after_out").cast("int").bitwiseXOR(F.col("_turned").cast("int"))
     )
-    state = state.withColumns(
-        {
-            "_last": F.last("_set", ignorenulls=True).over(before),
-            "_odd": F.coalesce(F.lag("_turns").over(in_block), F.lit(0)).cast("int"),
-        }
-    ).drop("_out", "_in")
-    state = pin(state, "csv-lines")
-
-    # One row a split: what it does to the state; folded in order of the splits.
-    blocks = state.groupBy("file", "block").agg(
-        F.max_by("_turns", "at").cast("int").alias("_turned"),
-        F.max_by(
-            F.coalesce("_set", "_last"), F.when(F.coalesce("_set", "_last").isNotNull(), F.col("at"))
-        ).alias("_fixed"),
+    inside = (
+        splits.withColumn("_turned", turned)
+        .withColumn("_fixed", F.coalesce(F.last(fixed, ignorenulls=True).over(earlier), F.lit(0)))
+        .where(F.col("_fixed") != F.col("_turned"))
+        .select("file", "block", F.lit(True).alias("start"))
     )
-    folded = F.aggregate(
-        F.col("_earlier"),
-        F.lit(0),
-        lambda s, b: F.coalesce(b["_fixed"], s).bitwiseXOR(b["_turned"]),
+    # Only splits that start inside a record, of which a file of any size has few; the lines keep their order.
+    started = lines.join(F.broadcast(pin(inside, "csv-inside")), ["file", "block"], "left").withColumn(
+        "start", F.coalesce("start", F.lit(False))
     )
-    of_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = pin(
-        blocks.withColumn("_earlier", F.collect_list(F.struct("_fixed", "_turned")).over(of_file))
-        .select("file", "block", folded.alias("_start")),
-        "csv-splits",
-    )
-    inside = F.coalesce("_last", "_start").bitwiseXOR(F.col("_odd")) == 1
-    numbered = state.join(blocks, ["file", "block"]).withColumn("_inside", inside)
-    # The number of the record in its split; lines before the first start continue another split.
-    numbered = numbered.withColumn(
-        "number", F.sum(F.when(F.col("_inside"), F.lit(0)).otherwise(F.lit(1))).over(in_block)
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("at", "line")))
-    records = pin(
-        numbered.groupBy("file", "block", "number")
-        .agg(F.transform(ordered, lambda x: x["line"]).alias("lines"))
-        .withColumn("_most", F.max("number").over(Window.partitionBy("file", "block"))),
-        "csv-records",
-    )
-    heads = records.where("number = 0")
-    whole = records.where("number > 0")
-    if not heads.isEmpty():
-        # Ends of records go to the last split before theirs in which a record starts.
-        starts = records.where("number > 0 AND number = _most").select("file", "block", "number")
-        ends = heads.select("file", F.col("block").alias("_from"), "lines")
-        owner = (
-            ends.join(starts, "file")
-            .where(F.col("block") < F.col("_from"))
-            .groupBy("file", "_from")
-            .agg(F.max_by(F.struct("block", "number"), "block").alias("_of"))
-        )
-        pieces = ends.join(owner, ["file", "_from"]).select(
-            "file", "_of.block", "_of.number", F.col("_from"), "lines"
-        )
-        rest = pieces.groupBy("file", "block", "number").agg(
-            F.flatten(
-                F.transform(F.array_sort(F.collect_list(F.struct("_from", "lines"))), lambda x: x["lines"])
-            ).alias("_rest")
-        )
-        whole = whole.join(rest, ["file", "block", "number"], "left").withColumn(
-            "lines", F.concat("lines", F.coalesce("_rest", F.array().cast("array<string>")))
+    records = pin(started.mapInArrow(_records, _RECORD), "csv-records")
+    # Ends of records go to the last split before theirs in which a record starts.
+    until = Window.partitionBy("file").orderBy("block", "number")
+    owner = F.when(F.col("number") > 0, F.struct("block", "number"))
+    edges = (
+        records.where("edge")
+        .withColumn("_of", F.last(owner, ignorenulls=True).over(until))
+        .groupBy("file", "_of")
+        .agg(F.array_sort(F.collect_list(F.struct("block", "number", "record"))).alias("_parts"))
+        .select(
+            "file", "_of.block", "_of.number",
+            F.array_join(F.transform("_parts", lambda x: x["record"]), "\n").alias("record"),
         )
+    )
+    whole = records.where("NOT edge").drop("edge").unionByName(edges)
     # The CR that ends the record goes; all others are its text.
-    text = F.regexp_replace(F.array_join("lines", "\n"), r"\r\z", "")
+    text = F.regexp_replace("record", r"\r\z", "")
     for plain, mark in ((_MARK, _ITSELF), ("\n", _BREAK), ("\r", _RETURN)):
         text = F.replace(text, F.lit(plain), F.lit(_MARK + mark))
     header = (F.col("block") == 0) & (F.col("number") == 1)

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from proofmark.sources import readers
+from proofmark.sources import csv_records, readers
+from proofmark.workspace import pin
 
 NASTY = [
     'plain', '', 'two words', 'a,b', 'he said "no"', '"', '""', 'line\nbreak', '\n', 'x\n\ny', '"quoted"\n,"again"',
@@ -88,3 +90,29 @@ def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
         assert found.count() == 60_000 and found.where("text LIKE '%second line'").count() == 20_000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_lines_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """A task holds a batch of lines and one record, however large the splits are."""
+    write(tmp_path / "t.csv", [(i, "line\nbreak", i, "x") for i in range(50)])
+    plans = {}
+    monkeypatch.setattr(csv_records, "pin", lambda df, label: plans.setdefault(label, df) and pin(df, label))
+    assert csv_records.csv_records(spark, str(tmp_path / "t.csv")).count() == 50
+    texts = {k: df for k, df in plans.items() if {"line", "lines", "record"} & set(df.columns)}
+    assert texts
+    for label, df in texts.items():
+        assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString(), label
+
+
+def test_states_do_not_depend_on_batches():
+    r = random.Random(6)
+    out, into = ([r.random() < 0.5 for _ in range(40)] for _ in range(2))
+    for state in (False, True):
+        expected = [state]
+        for a, b in zip(out, into):
+            expected.append(b if expected[-1] else a)
+        found = csv_records._states(np.array(out), np.array(into), state).tolist()
+        assert found == expected
+        for cut in range(1, 40):
+            first = csv_records._states(np.array(out[:cut]), np.array(into[:cut]), state)
+            assert csv_records._states(np.array(out[cut:]), np.array(into[cut:]), bool(first[-1])).tolist() == expected[cut:]
